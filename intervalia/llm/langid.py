@@ -1,15 +1,16 @@
 """Language identification by compression.
 
-Each language gets a zstandard dictionary of raw content: whole training texts in the order of a hash of their id,
+Texts count as their lower-cased words. Each language gets a zstandard dictionary of raw content: whole training texts in the order of a hash of their id,
 cut at DICTIONARY bytes. A text is compressed once with each dictionary; the language whose dictionary gives the smallest result
-is chosen. The score is the softmax of the saved bits at a fixed temperature. If the best two results differ by less than MARGIN of
-the text's bytes, the choice is marked as rejected.
+is chosen. Where the best two results differ by less than NARROW of the text's bytes, the text is compressed again by a
+slower level, which finds shorter matches. The score is the softmax of the saved bits at a fixed temperature. If the
+margin is then under MARGIN of the text's bytes, the choice is marked as rejected.
 
 Training rows: a known id, whose hash is not in the held-out class, and a known language. The dictionaries are a
 bounded sample of them: at most about SAMPLE rows of each language, and at most LANGUAGES languages, the most frequent ones.
 
 Defined cases: null text or text without letters: `und`, score 0, rejected; without training rows every text is
-`und`; equal results: the language that comes first in order; a null id is never trained on and not held out; repeated rows give
+`und`; equal results: the language with more training rows, then the first in order; a null id is never trained on and not held out; repeated rows give
 repeated results; other columns are ignored.
 """
 
@@ -25,65 +26,77 @@ from pyspark.sql import functions as F
 
 from .common import bucket
 
-DICTIONARY = 48 * 1024
+DICTIONARY = 110 * 1024
 SAMPLE = 64
-LANGUAGES = 500
-LEVEL = 1
+LANGUAGES = 200
+LEVELS = (1, 9)
+NARROW = 0.02
 MARGIN = 0.002
 TEMPERATURE = 64.0
-LETTER = re.compile(r"[^\W\d_]")
+NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """What is compressed, of texts and dictionaries: lower-cased words of letters between single spaces."""
+    return NO_LETTERS.sub(" ", text.lower()).strip().encode()
 
 
 def training_texts(docs: DataFrame, train, sample: int = SAMPLE, languages: int = LANGUAGES) -> dict[str, list[bytes]]:
-    """About `sample` texts of each language, by a hash of the id; the driver gets no more than twice that."""
+    """About `sample` texts of each language, by a hash of the id, the most frequent language first; the driver gets no more than twice that."""
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample / n))])
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = rows.withColumn("_place", place).where(F.col("_place") < share[F.col("lang")]).select("lang", "_place", "text").orderBy("_place", "lang", "text").limit(2 * sample * len(counts)).collect()
-    out: dict[str, list[bytes]] = {lang: [] for lang in sorted(counts)}
+    out: dict[str, list[bytes]] = {lang: [] for lang in counts}
     for r in picked:
-        out[r.lang].append(r.text.encode())
+        out[r.lang].append(letters(r.text))
     return {lang: texts for lang, texts in out.items() if texts}
 
 
 def dictionaries(texts: dict[str, list[bytes]], size: int = DICTIONARY) -> dict[str, bytes]:
     """Raw content for each language; texts are taken whole until it is full, the last one is cut."""
-    return {lang: b"\n".join(t)[:size].rjust(8) for lang, t in sorted(texts.items())}
+    return {lang: b" ".join(t)[:size].rjust(8) for lang, t in texts.items()}
 
 
 class Classifier:
-    def __init__(self, content: dict[str, bytes], level: int = LEVEL):
+    def __init__(self, content: dict[str, bytes], levels: tuple[int, ...] = LEVELS):
         import zstandard as z
 
-        self.langs = sorted(content)
+        self.langs = list(content)
         self.compressors = []
-        for lang in self.langs:
-            d = z.ZstdCompressionDict(content[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.compressors.append(z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+        for level in levels:
+            made = []
+            for lang in self.langs:
+                d = z.ZstdCompressionDict(content[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=level)
+                made.append(z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+            self.compressors.append(made)
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, rejected."""
-        if not text or not self.langs or not LETTER.search(text):
+        raw = letters(text or "")
+        if not raw or not self.langs:
             return "und", 0.0, True
-        raw = text.encode()
-        sizes = [len(c.compress(raw)) for c in self.compressors]
-        best = min(range(len(sizes)), key=lambda k: (sizes[k], k))
-        rest = sorted(s for k, s in enumerate(sizes) if k != best)
-        score = 1 / sum(math.exp(max(-700.0, (sizes[best] - s) * 8 / TEMPERATURE)) for s in sizes)
-        return self.langs[best], score, bool(rest) and rest[0] - sizes[best] < max(1, MARGIN * len(raw))
+        for made in self.compressors:
+            sizes = [len(c.compress(raw)) for c in made]
+            order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
+            margin = sizes[order[1]] - sizes[order[0]] if len(order) > 1 else len(raw)
+            if margin >= NARROW * len(raw):
+                break
+        score = 1 / sum(math.exp(max(-700.0, (sizes[order[0]] - s) * 8 / TEMPERATURE)) for s in sizes)
+        return self.langs[order[0]], score, margin < max(1, MARGIN * len(raw))
 
 
-def identify(docs: DataFrame, content: dict[str, bytes], level: int = LEVEL) -> DataFrame:
+def identify(docs: DataFrame, content: dict[str, bytes], levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """doc_id, lang_pred, score, rejected. The dictionaries have a bounded size: LANGUAGES times DICTIONARY."""
     shared = docs.sparkSession.sparkContext.broadcast(content)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(shared.value, level)
+        model = Classifier(shared.value, levels)
         for batch in batches:
             found = [model.classify(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))], names=["doc_id", "lang_pred", "score", "rejected"])

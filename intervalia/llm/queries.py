@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, topk, toxicity
+from . import bpe, decontam, langid, linededup, topk, toxicity, urlfilter
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=False))
 
@@ -34,10 +42,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_byte_bpe, op6_toxicity, op8_decontamination, op10_top_k)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_byte_bpe, op6_toxicity, op7_url_filters, op8_decontamination, op10_top_k)}
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op7_url_filters": urlfilter.SQL}
 
 SQL["op10_top_k"] = """
 WITH v AS (
