@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, linededup, topk, toxicity, urlfilter
+from . import bpe, decontam, langid, linededup, pii, topk, toxicity, urlfilter
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -37,12 +37,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=False))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_byte_bpe, op6_toxicity, op7_url_filters, op8_decontamination, op10_top_k)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_byte_bpe, op6_toxicity, op7_url_filters, op8_decontamination, op9_pii, op10_top_k)}
 
 
 SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op7_url_filters": urlfilter.SQL}
