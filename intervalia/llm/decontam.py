@@ -168,3 +168,10 @@ def report(scanned: DataFrame, key: str = "doc_id", least: int = 2) -> DataFrame
 
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def keep(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, limit: int = LIMIT) -> DataFrame:
+    """docs without the rows that hold a run of `size` hit words or windows of two items; all columns."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), docs["text"].alias("text"))
+    found = scan(packed, benchmark, size, limit, spans=False, key="_row")
+    return found.where(~F.exists("runs", lambda r: r[1] - r[0] >= size) & (F.size("items") < 2)).select("_row.*")
