@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, linededup, nearcopy, pii, topk, toxicity, urlfilter
+from . import bpe, decontam, langid, linededup, lm, nearcopy, pii, topk, toxicity, urlfilter
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
 def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopy.report(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_byte_bpe, op5_near_copies, op6_toxicity, op7_url_filters, op8_decontamination, op9_pii, op10_top_k)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_byte_bpe, op4_lm_scoring, op5_near_copies, op6_toxicity, op7_url_filters, op8_decontamination, op9_pii, op10_top_k)}
 
 
 SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op7_url_filters": urlfilter.SQL}
