@@ -205,15 +205,18 @@ def forest(names: list[bytes], groups: list[bytes], sets: list[np.ndarray], shar
 def near_copies(docs: DataFrame, carry: list[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The described rows, and _h, _c of the classes that are linked with another class."""
     rows = checkpointed(described(docs, carry))
-    classes = rows.where(F.col("_h").isNotNull()).groupBy("_h").agg(F.min("_t").alias("_t"), F.min("_n").alias("_n"), F.min("_keys").alias("_keys"))
-    entries = classes.select(F.explode("_keys").alias("_key"), "_h", "_t", "_n")
-    buckets = entries.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct("_h", "_n", "_t")).alias("_p")).where(F.col("_size") > 1)
-    members = checkpointed(entries.join(buckets.select("_key", "_p", "_size"), "_key"))
+    whole = rows.where(F.col("_h").isNotNull()).groupBy("_h")
+    entries = whole.agg(F.min("_keys").alias("_keys")).select(F.explode("_keys").alias("_key"), "_h")
+    # Keys alone are counted first; only entries of shared keys are kept, and a bucket's first class is found among these.
+    shared = entries.select("_key").groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > 1).select("_key")
+    sizes = whole.agg(F.min("_t").alias("_t"), F.min("_n").alias("_n"))
+    members = checkpointed(entries.join(shared, "_key").join(sizes, "_h").select("_key", "_h", "_t", "_n"))
     sets = checkpointed(sets_of(docs, members.select("_t").distinct()))
 
     # 1. The star of each bucket; sizes alone refuse many pairs.
     fits = 100 * F.least("_n", "_p._n") >= SHARE * F.greatest("_n", "_p._n")
-    star = members.where(fits & (F.col("_h") != F.col("_p._h"))).select(F.col("_h").alias("_a"), F.col("_p._h").alias("_b")).distinct()
+    pivots = members.groupBy("_key").agg(F.min(F.struct("_h", "_n")).alias("_p"))
+    star = members.join(pivots, "_key").where(fits & (F.col("_h") != F.col("_p._h"))).select(F.col("_h").alias("_a"), F.col("_p._h").alias("_b")).distinct()
     with_sets = star.join(sets.select(F.col("_h").alias("_a"), F.col("_set").alias("_x")), "_a").join(sets.select(F.col("_h").alias("_b"), F.col("_set").alias("_y")), "_b")
     inter = F.size(F.array_intersect("_x", "_y"))
     links = checkpointed(with_sets.where(100 * inter >= SHARE * (F.size("_x") + F.size("_y") - inter)).select("_a", "_b"))
