@@ -90,8 +90,8 @@ def liftover(peaks: DataFrame, chain: DataFrame, tolerance: int = 10) -> DataFra
     p = peaks.select("chr", "start", "end").distinct()
     width = 100_000
     binned = p.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    blocks = chain.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("src_start") / width), F.floor((F.col("src_end") - 1) / width))))
-    j = binned.join(blocks, (binned["chr"] == blocks["src_chr"]) & (binned["_bin"] == blocks["_bin"]) & (F.col("src_start") < F.col("end")) & (F.col("src_end") > F.col("start")))
+    blocks = chain.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("src_start") / width), F.floor(F.col("src_end") / width))))
+    j = binned.join(blocks, (binned["chr"] == blocks["src_chr"]) & (binned["_bin"] == blocks["_bin"]) & (F.col("src_start") <= F.col("end")) & (F.col("src_end") > F.col("start")))
     to = lambda x: F.when(F.col("strand") == "-", F.col("dst_start") + (F.col("src_end") - 1 - x)).otherwise(F.col("dst_start") + (x - F.col("src_start")))
     up, down = F.greatest("start", "src_start"), F.least(F.col("end"), F.col("src_end") - 1)
     down_ok = F.when(down > F.col("start"), F.struct(F.negative(down).alias("o"), F.col("dst_chr").alias("c"), to(down).alias("x")))

@@ -445,7 +445,7 @@ def motif_diff(t):
 
 
 LIFT = """,
-j AS (SELECT p.chr, p.start, p.end_, c.dst_chr, c.strand, c.dst_start, c.src_start, c.src_end, greatest(p.start, c.src_start) AS up, least(p.end_, c.src_end - 1) AS dn FROM islands p JOIN chain c ON c.src_chr = p.chr AND c.src_start < p.end_ AND c.src_end > p.start),
+j AS (SELECT p.chr, p.start, p.end_, c.dst_chr, c.strand, c.dst_start, c.src_start, c.src_end, greatest(p.start, c.src_start) AS up, least(p.end_, c.src_end - 1) AS dn FROM islands p JOIN chain c ON c.src_chr = p.chr AND c.src_start <= p.end_ AND c.src_end > p.start),
 a AS (SELECT chr, start, end_, arg_min({'c': dst_chr, 'x': CASE WHEN strand = '-' THEN dst_start + src_end - 1 - up ELSE dst_start + up - src_start END}, up) AS a FROM j WHERE up < end_ GROUP BY 1, 2, 3),
 b AS (SELECT chr, start, end_, arg_max({'c': dst_chr, 'x': CASE WHEN strand = '-' THEN dst_start + src_end - 1 - dn ELSE dst_start + dn - src_start END}, dn) AS b FROM j WHERE dn > start GROUP BY 1, 2, 3),
 lf AS (SELECT a.chr, a.start, a.end_, a.a.c AS c, least(a.a.x, b.b.x) AS lo, greatest(a.a.x, b.b.x) AS hi FROM a JOIN b ON a.chr = b.chr AND a.start = b.start AND a.end_ = b.end_ WHERE a.a.c = b.b.c AND 10 * (a.end_ - a.start) > greatest(a.a.x, b.b.x) - least(a.a.x, b.b.x))"""
