@@ -484,8 +484,8 @@ def heatmap_matrix(t):
 
 @query(M + PAIR + """,
 chosen AS (SELECT var_id FROM x GROUP BY 1 HAVING sum(value) >= 30), gn AS (SELECT r.grp AS s, near.name, near.gene, log2(r.value + 1) AS v FROM near JOIN rna r ON r.gene = near.gene WHERE near.name IN (SELECT var_id FROM chosen)),
-pk AS (SELECT cluster AS s, var_id AS name, '' AS gene, log2(sum(value) + 1) AS v FROM x JOIN obs ON barcode = obs_id WHERE var_id IN (SELECT name FROM gn) GROUP BY 1, 2), u AS (SELECT * FROM gn UNION ALL SELECT * FROM pk)
-SELECT s AS sample, name, gene, round(coalesce(v / nullif(max(v) OVER (PARTITION BY name, gene), 0), 0), 6) AS dot FROM u""")
+pk AS (SELECT cluster AS s, var_id AS name, '' AS gene, log2(sum(value) + 1) AS v FROM x JOIN obs ON barcode = obs_id WHERE var_id IN (SELECT name FROM gn) GROUP BY 1, 2), dots AS (SELECT * FROM gn UNION ALL SELECT * FROM pk)
+SELECT s AS sample, name, gene, round(coalesce(v / nullif(max(v) OVER (PARTITION BY name, gene), 0), 0), 6) AS dot FROM dots""")
 def dotplot_bulk(t):
     m = count_matrix_of(t)
     names = [r.var_id for r in m.x.groupBy("var_id").agg(F.sum("value").alias("s")).where("s >= 30").collect()]
