@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,13 @@ def bucket(c: Column, mod: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(mod)
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows: what a worker makes of a slice is freed before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it from there: cuts lineage, survives lost executors."""
     spark = df.sparkSession

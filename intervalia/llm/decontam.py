@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, parts
 
 SIZE = 8
 LIMIT = 16_000_000
@@ -133,7 +133,7 @@ def _scan(docs: DataFrame, shared, kind: str, size: int, spans: bool, key: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value, size)
         pairs = pa.list_(pa.list_(pa.int64()))
-        for batch in batches:
+        for batch in parts(batches):
             n, runs, where, items = [], [], [], []
             before = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) if again else None
             for text in batch.column(1).cast(pa.binary()).to_pylist():

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, parts
 
 SIZE = 5
 SHARE = 85
@@ -39,7 +39,8 @@ SYMBOLS, CHUNKS, DISTANCE, BITS = 20, 4, 11, 32
 BLOCK = 2000
 BLOCK_ITEMS = 4_000_000
 BROADCAST = 2_000_000
-CACHE = 1_000_000
+#: Word hashes and names of sets that a worker remembers; beyond, they are made again.
+CACHE = 200_000
 
 _RANDOM = np.random.default_rng(20)
 FACTORS = _RANDOM.integers(0, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,7 +108,7 @@ def described(docs: DataFrame, carry: list[str]) -> DataFrame:
 
         words, places = Words(), np.array(subsets())
         salt = mixed(np.arange(1, len(places) + 1, dtype=np.uint64))
-        for batch in batches:
+        for batch in parts(batches):
             names, n, out = [], [], []
             for text in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist():
                 items = shingles(text, words)
@@ -135,7 +136,7 @@ def sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
         import xxhash
 
         words, done = Words(), set()
-        for batch in batches:
+        for batch in parts(batches):
             names, out = [], []
             for t in batch.column(0).cast(pa.binary()).to_pylist():
                 items = shingles(t, words)
