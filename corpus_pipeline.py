@@ -2,7 +2,7 @@
 
 1. toxicity: documents that score 0.5 or more go.
 2. line dedup: boilerplate lines of each source go; documents stay.
-3. near copies: of each component the document of the smallest id stays; documents without words stay.
+3. near copies: links at a similarity of 0.80 of the sets of five-word runs (op5 links at 0.85); of each component the document of the smallest id stays; documents without words stay.
 4. decontamination: documents that hold eight words in a row of a benchmark item, or windows of two items, go.
 5. byte-level BPE: encoded and decoded; ids and bytes as digests.
 
@@ -28,7 +28,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopy.keep_one(docs)
+    return nearcopy.keep_one(docs, nearcopy.SHINGLE_SHARE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,10 +3,13 @@
 Words: runs of anything but space and ASCII white space, A-Z lower-cased. A document's set: its distinct runs of five words (fewer words: the whole as one; none: the
 empty set, linked with nothing), as 64-bit hashes. Documents with equal sets are one class, named by a 128-bit hash of the set.
 
-Signature: SYMBOLS MinHash values of BITS bits. Two sets of similarity s differ in a symbol with probability 1 - s. The signature is split
-into CHUNKS chunks; two signatures at a distance of at most DISTANCE differ in at most DISTANCE // CHUNKS symbols of some chunk (pigeonhole), so they share a key made of one of
+Two sets are linked if 100 * intersection >= share * union; share is SHARE for op5 and SHINGLE_SHARE for the pipeline's stage.
+
+Signature: MinHash values of BITS bits, their number, chunks and distance from SHAPES by share. Two sets of similarity s differ in a symbol with probability 1 - s. The signature is
+split into chunks; two signatures at a distance of at most `distance` differ in at most distance // chunks symbols of some chunk (pigeonhole), so they share a key made of one of
 its ways to leave that many symbols out. With 20 symbols, 4 chunks and distance 11, each class has 40 keys, and a pair at similarity 0.85 is over the distance
-with probability 5e-6.
+with probability 5e-6; with 25, 5 and 14 it has 50 keys, and a pair at 0.80 is over it with probability 1.4e-5. A pair over the distance may still share a key: all chunks
+miss with probability 5e-7 and 7e-7.
 
 Classes that share a key form a bucket. No bucket is spelled out in pairs:
 1. each class is compared with its bucket's first class (a star), once for each such pair, on the full sets;
@@ -35,7 +38,10 @@ from .common import checkpointed, parts
 
 SIZE = 5
 SHARE = 85
-SYMBOLS, CHUNKS, DISTANCE, BITS = 20, 4, 11, 32
+SHINGLE_SHARE = 80
+#: Symbols, chunks and distance by the least share that they are made for.
+SHAPES = {85: (20, 4, 11), 80: (25, 5, 14)}
+BITS = 32
 BLOCK = 2000
 BLOCK_ITEMS = 4_000_000
 BROADCAST = 2_000_000
@@ -44,7 +50,7 @@ CACHE = 200_000
 
 _RANDOM = np.random.default_rng(20)
 FACTORS = _RANDOM.integers(0, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SEEDS = _RANDOM.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
+SEEDS = _RANDOM.integers(0, 2**63, max(symbols for symbols, _, _ in SHAPES.values()), dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -82,15 +88,24 @@ def shingles(text: bytes | None, words: Words, size: int = SIZE) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def subsets() -> list[tuple[int, ...]]:
+def shape(share: int) -> tuple[int, int, int]:
+    """Symbols, chunks and distance for links of that share or more."""
+    fit = [s for s in SHAPES if s <= share]
+    if not fit:
+        raise ValueError(f"no signature is made for a share of {share}")
+    return SHAPES[max(fit)]
+
+
+def subsets(share: int = SHARE) -> list[tuple[int, ...]]:
     """Places of the symbols of each key: in one chunk, all but the errors that the chunk is allowed."""
-    width = SYMBOLS // CHUNKS
-    return [c for k in range(CHUNKS) for c in combinations(range(k * width, (k + 1) * width), width - DISTANCE // CHUNKS)]
+    symbols, chunks, distance = shape(share)
+    width = symbols // chunks
+    return [c for k in range(chunks) for c in combinations(range(k * width, (k + 1) * width), width - distance // chunks)]
 
 
-def signature(items: np.ndarray) -> np.ndarray:
+def signature(items: np.ndarray, symbols: int) -> np.ndarray:
     """The MinHash values, BITS bits each."""
-    return np.array([mixed(items ^ s).min() for s in SEEDS]) >> np.uint64(64 - BITS)
+    return np.array([mixed(items ^ s).min() for s in SEEDS[:symbols]]) >> np.uint64(64 - BITS)
 
 
 def keys(sig: np.ndarray, places: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -100,13 +115,13 @@ def keys(sig: np.ndarray, places: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def described(docs: DataFrame, carry: list[str]) -> DataFrame:
+def described(docs: DataFrame, carry: list[str], share: int = SHARE) -> DataFrame:
     """carry columns, _h (name of the class, null for the empty set), _n (size of the set), _t (hash of the text), _keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        words, places = Words(), np.array(subsets())
+        words, places, symbols = Words(), np.array(subsets(share)), shape(share)[0]
         salt = mixed(np.arange(1, len(places) + 1, dtype=np.uint64))
         for batch in parts(batches):
             names, n, out = [], [], []
@@ -114,7 +129,7 @@ def described(docs: DataFrame, carry: list[str]) -> DataFrame:
                 items = shingles(text, words)
                 n.append(len(items))
                 names.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
-                out.append(keys(signature(items), places, salt) if len(items) else None)
+                out.append(keys(signature(items, symbols), places, salt) if len(items) else None)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(names, pa.binary()), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
                 names=[*batch.schema.names[:-1], "_h", "_n", "_keys"],
@@ -203,9 +218,9 @@ def forest(names: list[bytes], groups: list[bytes], sets: list[np.ndarray], shar
     return out
 
 
-def near_copies(docs: DataFrame, carry: list[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, carry: list[str], block: int = BLOCK, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """The described rows, and _h, _c of the classes that are linked with another class."""
-    rows = checkpointed(described(docs, carry))
+    rows = checkpointed(described(docs, carry, share))
     whole = rows.where(F.col("_h").isNotNull()).groupBy("_h")
     entries = whole.agg(F.min("_keys").alias("_keys")).select(F.explode("_keys").alias("_key"), "_h")
     # Keys alone are counted first; only entries of shared keys are kept, and a bucket's first class is found among these.
@@ -215,12 +230,12 @@ def near_copies(docs: DataFrame, carry: list[str], block: int = BLOCK) -> tuple[
     sets = checkpointed(sets_of(docs, members.select("_t").distinct()))
 
     # 1. The star of each bucket; sizes alone refuse many pairs.
-    fits = 100 * F.least("_n", "_p._n") >= SHARE * F.greatest("_n", "_p._n")
+    fits = 100 * F.least("_n", "_p._n") >= share * F.greatest("_n", "_p._n")
     pivots = members.groupBy("_key").agg(F.min(F.struct("_h", "_n")).alias("_p"))
     star = members.join(pivots, "_key").where(fits & (F.col("_h") != F.col("_p._h"))).select(F.col("_h").alias("_a"), F.col("_p._h").alias("_b")).distinct()
     with_sets = star.join(sets.select(F.col("_h").alias("_a"), F.col("_set").alias("_x")), "_a").join(sets.select(F.col("_h").alias("_b"), F.col("_set").alias("_y")), "_b")
     inter = F.size(F.array_intersect("_x", "_y"))
-    links = checkpointed(with_sets.where(100 * inter >= SHARE * (F.size("_x") + F.size("_y") - inter)).select("_a", "_b"))
+    links = checkpointed(with_sets.where(100 * inter >= share * (F.size("_x") + F.size("_y") - inter)).select("_a", "_b"))
     # 2.
     first = components(links)
     # 3. Buckets of several components; of buckets with the same members one is enough.
@@ -233,7 +248,7 @@ def near_copies(docs: DataFrame, carry: list[str], block: int = BLOCK) -> tuple[
     dealt = dealt.select("_key", F.least("_i", "_j").alias("_u"), F.greatest("_i", "_j").alias("_v"), "_h", "_c").join(sets, "_h")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = forest(pdf["_h"].tolist(), pdf["_c"].tolist(), [np.asarray(s) for s in pdf["_set"]])
+        found = forest(pdf["_h"].tolist(), pdf["_c"].tolist(), [np.asarray(s) for s in pdf["_set"]], share)
         return pd.DataFrame(found, columns=["_a", "_b"])
 
     more = dealt.groupBy("_key", "_u", "_v").applyInPandas(compare, "_a binary, _b binary").distinct()
@@ -245,9 +260,9 @@ def near_copies(docs: DataFrame, carry: list[str], block: int = BLOCK) -> tuple[
     return rows, lower.join(upper.select(F.col("_h").alias("_c"), F.col("_c").alias("_d")), "_c", "left").select("_h", F.coalesce("_d", "_c").alias("_c"))
 
 
-def with_components(docs: DataFrame, carry: list[str], block: int = BLOCK) -> DataFrame:
+def with_components(docs: DataFrame, carry: list[str], block: int = BLOCK, share: int = SHARE) -> DataFrame:
     """carry columns (doc_id among them), _t, n_shingles, component_id, _h, _c."""
-    rows, linked = near_copies(docs, carry, block)
+    rows, linked = near_copies(docs, carry, block, share)
     least = rows.where(F.col("_h").isNotNull()).groupBy("_h").agg(F.min("doc_id").alias("_id"))
     least = least.join(linked, "_h", "left").withColumn("_c", F.coalesce("_c", "_h"))
     smallest = least.groupBy("_c").agg(F.min("_id").alias("component_id"))
@@ -261,11 +276,11 @@ def report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return with_components(docs, ["doc_id"], block).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """docs with one row of each component, that of its smallest id (of repeated rows and ids, one); rows without shingles all stay.
 
     Only ids and hashes of texts are shuffled; the texts meet the rows to drop, which are fewer, in one anti-join."""
-    found = checkpointed(with_components(docs, ["doc_id"]).where(F.col("_h").isNotNull()).select("doc_id", "_t", "_c", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_kept")))
+    found = checkpointed(with_components(docs, ["doc_id"], share=share).where(F.col("_h").isNotNull()).select("doc_id", "_t", "_c", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_kept")))
     gone = found.where(~F.col("_kept")).select("doc_id", "_t")
     several = found.where("_kept").groupBy("_c").agg(F.min("_t").alias("_first"), F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 1)
     again = None
