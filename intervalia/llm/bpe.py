@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import schema_of
+
 #: Ids of this many distinct chunks stay in a worker's memory.
 CACHE_CHUNKS = 300_000
 #: Longer chunks are encoded anew each time.
@@ -114,7 +116,6 @@ def rank_file(path: str) -> bytes:
 def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = True) -> DataFrame:
     """doc_id, ids array<long>, and with offsets: starts and ends array<int>, in characters."""
     raw = docs.sparkSession.sparkContext.broadcast(rank_file(path))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(raw.value, pattern)
@@ -126,13 +127,12 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = True) -> Da
                 columns += [pa.array([s[:, k].astype(np.int32) for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "starts", "ends"][: len(columns)])
 
-    return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<bigint>" + ", starts array<int>, ends array<int>" * offsets)
+    return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(run, schema_of([docs.schema["doc_id"]], "ids array<bigint>" + ", starts array<int>, ends array<int>" * offsets))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, decoded binary and text string, from doc_id and ids; null ids are no ids."""
     raw = encoded.sparkSession.sparkContext.broadcast(rank_file(path))
-    kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(raw.value, pattern)
@@ -140,13 +140,12 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             out = [model.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in out], pa.string())], names=["doc_id", "decoded", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, schema_of([encoded.schema["doc_id"]], "decoded binary, text string"))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: ids and decoded bytes stay in the worker, only their digests leave."""
     raw = docs.sparkSession.sparkContext.broadcast(rank_file(path))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(raw.value, pattern)
@@ -164,4 +163,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(run, schema_of([docs.schema["doc_id"]], "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -26,6 +27,11 @@ def bucket(c: Column, mod: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(mod)
 
 
+def schema_of(first: list[T.StructField], rest: str) -> T.StructType:
+    """Fields of any name and kind, then those of a DDL string."""
+    return T.StructType([*first, *T.DataType.fromDDL(rest).fields])
+
+
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most so many rows: what a worker makes of a slice is freed before the next."""
     for batch in batches:
@@ -38,5 +44,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)

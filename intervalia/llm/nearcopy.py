@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, parts
+from .common import checkpointed, parts, schema_of
 
 SIZE = 5
 SHARE = 85
@@ -137,8 +137,7 @@ def described(docs: DataFrame, carry: list[str], share: int = SHARE) -> DataFram
 
     text = docs["text"].cast("string")
     source = docs.select(*carry, F.xxhash64(text).alias("_t"), text.alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kinds}, _h binary, _n bigint, _keys array<bigint>")
+    return source.mapInArrow(run, schema_of(source.schema.fields[:-1], "_h binary, _n bigint, _keys array<bigint>"))
 
 
 def sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -280,6 +279,9 @@ def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """docs with one row of each component, that of its smallest id (of repeated rows and ids, one); rows without shingles all stay.
 
     Only ids and hashes of texts are shuffled; the texts meet the rows to drop, which are fewer, in one anti-join."""
+    columns = docs.columns
+    # All columns as one, so that none clashes with those made here.
+    docs = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"), docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
     found = checkpointed(with_components(docs, ["doc_id"], share=share).where(F.col("_h").isNotNull()).select("doc_id", "_t", "_c", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_kept")))
     gone = found.where(~F.col("_kept")).select("doc_id", "_t")
     several = found.where("_kept").groupBy("_c").agg(F.min("_t").alias("_first"), F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 1)
@@ -291,9 +293,9 @@ def keep_one(docs: DataFrame, share: int = SHARE) -> DataFrame:
         gone = gone.unionByName(kept.select("doc_id", "_t"))
     gone = gone.distinct().select(F.col("doc_id").alias("_id"), F.col("_t").alias("_text"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
-    text = F.xxhash64(docs["text"].cast("string"))
+    text = F.xxhash64(docs["text"])
     out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (text == F.col("_text")), "left_anti")
     if again is None:
-        return out
+        return out.select("_row.*")
     back = docs.join(again.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_text")), docs["doc_id"].eqNullSafe(F.col("_id")) & (text == F.col("_text")))
-    return out.unionByName(back.dropDuplicates(["_id", "_text"]).drop("_id", "_text"))
+    return out.unionByName(back.dropDuplicates(["_id", "_text"]).drop("_id", "_text")).select("_row.*")

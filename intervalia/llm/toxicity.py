@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, parts
+from .common import bucket, parts, schema_of
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -111,14 +111,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, train, per_class: int = PE
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score. The table of the model has a fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             out = [shared.value.score(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(run, schema_of([docs.schema["doc_id"]], "score double"))
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
