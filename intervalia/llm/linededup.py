@@ -2,8 +2,8 @@
 
 A document's host is its source. For each host and line, the share of the host's documents that hold the line is
 n(line) / n(host); a line on at least LEAST documents and on more than RATIO of them is boilerplate, and goes from each document of that host. Lines are
-compared without spaces, tabs and returns at their ends, by the MD5 of their bytes; blank lines are never dropped. A document whose lines would all go is
-a copy of other documents rather than a page with boilerplate around it: it stays as it is, for the near-copy operator.
+compared without spaces, tabs and returns at their ends, by the MD5 of their bytes; blank lines are never dropped. With `spare`, which only the pipeline's stage sets, a
+document whose lines would all go stays as it is, as a copy of other documents for the near-copy operator; without, it is left with its blank lines or an empty text.
 
 Counting is by (host, digest), combined before the shuffle, so a host with a third of all documents is no hot task. A document holds few lines on
 average and boilerplate takes more than RATIO of the documents, so a host has at most (mean lines a document) / RATIO
@@ -56,33 +56,33 @@ def with_lines(docs: DataFrame, ratio: float = RATIO, least: int = LEAST, limit:
     if found.agg(F.coalesce(F.sum(F.size("_lines")), F.lit(0)) + F.count(F.lit(1))).first()[0] <= limit:
         return rows.join(F.broadcast(found), host.eqNullSafe(F.col("_host")), "left").select("_row", "_lines")
     salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("_key", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("_key", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     return rows.join(salted, host.eqNullSafe(F.col("_host")) & (F.col("_key") == F.col("_salt")), "left").select("_row", "_lines")
 
 
-def cleaned(text: Column, drop: Column) -> tuple[Column, Column]:
+def cleaned(text: Column, drop: Column, spare: bool) -> tuple[Column, Column]:
     """The kept lines; the kept text."""
     kept = F.filter(lines(text), lambda x: (trimmed(x) == "") | ~F.array_contains(drop, digest(x)))
     whole = lines(text)
-    # A document of nothing but boilerplate stays whole.
-    result = F.when(drop.isNull() | ~F.exists(kept, lambda x: trimmed(x) != ""), whole).otherwise(kept)
+    stays = drop.isNull() | ~F.exists(kept, lambda x: trimmed(x) != "") if spare else drop.isNull()
+    result = F.when(stays, whole).otherwise(kept)
     return result, F.when(drop.isNull(), text).otherwise(F.array_join(result, "\n"))
 
 
-def report(docs: DataFrame, ratio: float = RATIO, least: int = LEAST, limit: int = BROADCAST) -> DataFrame:
+def report(docs: DataFrame, ratio: float = RATIO, least: int = LEAST, limit: int = BROADCAST, spare: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped, text (cleaned)."""
     rows = with_lines(docs, ratio, least, limit)
     text = F.col("_row.text").cast("string")
-    kept, out = cleaned(text, F.col("_lines"))
+    kept, out = cleaned(text, F.col("_lines"), spare)
     n = F.when(text.isNull(), 0).otherwise(F.size(lines(text)))
     rows = rows.select(F.col("_row.doc_id").alias("doc_id"), n.cast("bigint").alias("n_lines"), F.when(text.isNull(), 0).otherwise(F.size(kept)).cast("bigint").alias("_kept"), out.alias("text"))
     return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.col("_kept")).alias("n_dropped"), "text")
 
 
-def clean(docs: DataFrame, ratio: float = RATIO, least: int = LEAST, limit: int = BROADCAST) -> DataFrame:
+def clean(docs: DataFrame, ratio: float = RATIO, least: int = LEAST, limit: int = BROADCAST, spare: bool = False) -> DataFrame:
     """docs with their boilerplate lines taken out of text; all columns, all rows."""
     rows = with_lines(docs, ratio, least, limit)
-    _, out = cleaned(F.col("_row.text").cast("string"), F.col("_lines"))
+    _, out = cleaned(F.col("_row.text").cast("string"), F.col("_lines"), spare)
     return rows.withColumn("_text", out).select(*[(F.col("_text") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
@@ -99,7 +99,7 @@ k AS (
     list_filter(string_split(d.text, E'\\n'), lambda x: trim(x, E' \\t\\r') = '' OR NOT list_contains(b.lines, trim(x, E' \\t\\r'))) AS kept
   FROM documents d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
 ), r AS (
-  SELECT doc_id, whole, CASE WHEN bad IS NULL OR len(list_filter(kept, lambda x: trim(x, E' \\t\\r') <> '')) = 0 THEN whole ELSE kept END AS res FROM k
+  SELECT doc_id, whole, CASE WHEN bad IS NULL THEN whole ELSE kept END AS res FROM k
 )
 SELECT doc_id, CAST(coalesce(len(whole), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(whole) - len(res), 0) AS BIGINT) AS n_dropped, array_to_string(res, E'\\n') AS text FROM r
 """
