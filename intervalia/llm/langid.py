@@ -7,7 +7,7 @@ slower level, which finds shorter matches. The score is the softmax of the saved
 margin is then under MARGIN of the text's bytes, the choice is marked as rejected.
 
 Training rows: a known id, whose hash is not in the held-out class, and a known language. The dictionaries are a
-bounded sample of them: at most about SAMPLE rows of each language, and at most LANGUAGES languages, the most frequent ones.
+bounded sample of them: about SAMPLE rows of each language. Every language is learned; with more than TOTAL / DICTIONARY of them each has a smaller dictionary.
 
 Defined cases: null text or text without letters: `und`, score 0, rejected; without training rows every text is
 `und`; equal results: the language with more training rows, then the first in order; a null id is never trained on and not held out; repeated rows give
@@ -17,91 +17,105 @@ repeated results; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket
+from .common import bucket, parts, schema_of
 
 DICTIONARY = 110 * 1024
 SAMPLE = 64
-LANGUAGES = 200
+#: Bytes of all dictionaries, if none is under LEAST for it; languages whose compressors are in memory together.
+TOTAL, LEAST, TOGETHER = 64 << 20, 4096, 128
 LEVELS = (1, 9)
 NARROW = 0.02
 MARGIN = 0.002
 TEMPERATURE = 64.0
-NO_LETTERS = re.compile(r"[\W\d_]+")
+NO_LETTERS, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def letters(text: str) -> bytes:
-    """What is compressed, of texts and dictionaries: lower-cased words of letters between single spaces."""
-    return NO_LETTERS.sub(" ", text.lower()).strip().encode()
+    """What is compressed, of texts and dictionaries: lower-cased words of letters and their marks between single spaces; nothing if there is no letter."""
+    return NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace") if LETTER.search(text) else b""
 
 
-def training_texts(docs: DataFrame, train, sample: int = SAMPLE, languages: int = LANGUAGES) -> dict[str, list[bytes]]:
-    """About `sample` texts of each language, by a hash of the id, the most frequent language first; the driver gets no more than twice that."""
+def training_texts(docs: DataFrame, train, sample: int = SAMPLE) -> dict[str, list[bytes]]:
+    """About `sample` texts of each language, by a hash of the id, the most frequent language first; of a text at most what fills a dictionary twice."""
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_of"))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.withColumn("_place", place).where(F.col("_place") < share[F.col("lang")]).select("lang", "_place", "text").orderBy("_place", "lang", "text").limit(2 * sample * len(counts)).collect()
-    out: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    for r in picked:
-        out[r.lang].append(letters(r.text))
-    return {lang: texts for lang, texts in out.items() if texts}
-
-
-def dictionaries(texts: dict[str, list[bytes]], size: int = DICTIONARY) -> dict[str, bytes]:
-    """Raw content for each language; texts are taken whole until it is full, the last one is cut."""
+    # There are few languages; a language with a third of all rows is read where it lies.
+    placed = rows.withColumn("_place", place).join(F.broadcast(counts), "lang").where(F.col("_place") * F.col("_of") < sample)
+    picked = placed.select("lang", "_of", "_place", F.substr("text", F.lit(1), F.lit(2 * DICTIONARY)).alias("text")).collect()
+    out: dict[str, list[bytes]] = {}
+    for r in sorted(picked, key=lambda r: (-r._of, r.lang, r._place, r.text)):
+        out.setdefault(r.lang, []).append(letters(r.text))
+    return out
+
+
+def dictionaries(texts: dict[str, list[bytes]], size: int = DICTIONARY, total: int = TOTAL) -> dict[str, bytes]:
+    """Raw content for each language; texts are taken whole until it is full, the last one is cut. Many languages have smaller dictionaries."""
+    size = max(LEAST, min(size, total // max(1, len(texts))))
     return {lang: b" ".join(t)[:size].rjust(8) for lang, t in texts.items()}
 
 
 class Classifier:
     def __init__(self, content: dict[str, bytes], levels: tuple[int, ...] = LEVELS):
+        self.langs, self.content, self.levels = list(content), content, levels
+        self.made: dict[tuple[int, int], list] = {}
+
+    def compressors(self, level: int, first: int) -> list:
+        """Those of TOGETHER languages; they are kept only if there are no more."""
         import zstandard as z
 
-        self.langs = list(content)
-        self.compressors = []
-        for level in levels:
-            made = []
-            for lang in self.langs:
-                d = z.ZstdCompressionDict(content[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                made.append(z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
-            self.compressors.append(made)
-
-    def classify(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score, rejected."""
-        raw = letters(text or "")
-        if not raw or not self.langs:
-            return "und", 0.0, True
-        for made in self.compressors:
-            sizes = [len(c.compress(raw)) for c in made]
-            order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
-            margin = sizes[order[1]] - sizes[order[0]] if len(order) > 1 else len(raw)
-            if margin >= NARROW * len(raw):
-                break
-        score = 1 / sum(math.exp(max(-700.0, (sizes[order[0]] - s) * 8 / TEMPERATURE)) for s in sizes)
-        return self.langs[order[0]], score, margin < max(1, MARGIN * len(raw))
+        if (level, first) in self.made:
+            return self.made[level, first]
+        made = []
+        for lang in self.langs[first : first + TOGETHER]:
+            d = z.ZstdCompressionDict(self.content[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            made.append(z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+        if len(self.langs) <= TOGETHER:
+            self.made[level, first] = made
+        return made
+
+    def classify(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, score, rejected of each text."""
+        raws = [letters(t or "") for t in texts]
+        out: list[tuple[str, float, bool]] = [("und", 0.0, True)] * len(raws)
+        left = [k for k, raw in enumerate(raws) if raw] if self.langs else []
+        for level in self.levels:
+            sizes: dict[int, list[int]] = {k: [] for k in left}
+            for first in range(0, len(self.langs), TOGETHER):
+                made = self.compressors(level, first)
+                for k in left:
+                    sizes[k] += [len(c.compress(raws[k])) for c in made]
+            narrow = []
+            for k, found in sizes.items():
+                order = sorted(range(len(found)), key=lambda i, found=found: (found[i], i))
+                margin = found[order[1]] - found[order[0]] if len(order) > 1 else len(raws[k])
+                score = 1 / sum(math.exp(max(-700.0, (found[order[0]] - s) * 8 / TEMPERATURE)) for s in found)
+                out[k] = (self.langs[order[0]], score, margin < max(1, MARGIN * len(raws[k])))
+                if margin < NARROW * len(raws[k]):
+                    narrow.append(k)
+            left = narrow
+        return out
 
 
 def identify(docs: DataFrame, content: dict[str, bytes], levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """doc_id, lang_pred, score, rejected. The dictionaries have a bounded size: LANGUAGES times DICTIONARY."""
+    """doc_id, lang_pred, score, rejected. The dictionaries have a bounded size: TOTAL, or LEAST for each language."""
     shared = docs.sparkSession.sparkContext.broadcast(content)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(shared.value, levels)
-        for batch in batches:
-            found = [model.classify(t) for t in batch.column(1).to_pylist()]
+        for batch in parts(batches):
+            found = model.classify(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", docs["text"].cast("string")).mapInArrow(run, schema_of([docs.schema["doc_id"]], "lang_pred string, score double, rejected boolean"))
 
 
 def identify_held_out(docs: DataFrame, mod: int = 3, rest: int = 1) -> DataFrame:
