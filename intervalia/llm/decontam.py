@@ -15,7 +15,6 @@ repeated results; an empty table on either side works; other columns are ignored
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, parts
+from .common import checkpointed, parts, schema_of
 
 SIZE = 8
 LIMIT = 16_000_000
@@ -108,10 +107,9 @@ def groups(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None,
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, limit: int = LIMIT, spans: bool = True, key: str = "doc_id") -> DataFrame:
     """key, n_words, runs (of words), spans (of the original characters), items (ids as text, sorted)."""
     found = docs.select(key, docs["text"].cast("string").alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
     for k, group in enumerate(groups(benchmark, limit)):
         shared = docs.sparkSession.sparkContext.broadcast(group)
-        found = _scan(checkpointed(found) if k else found, shared, kind, size, spans, key)
+        found = _scan(checkpointed(found) if k else found, shared, size, spans, key)
     return found.select(key, "n_words", "runs", "spans", "items")
 
 
@@ -126,7 +124,7 @@ def joined(runs: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _scan(docs: DataFrame, shared, kind: str, size: int, spans: bool, key: str) -> DataFrame:
+def _scan(docs: DataFrame, shared, size: int, spans: bool, key: str) -> DataFrame:
     """One scan; runs and items that an earlier scan left in docs are kept."""
     again = "runs" in docs.columns
 
@@ -151,11 +149,11 @@ def _scan(docs: DataFrame, shared, kind: str, size: int, spans: bool, key: str)
                 names=[key, "text", "n_words", "runs", "spans", "items"],
             )
 
-    return docs.select(key, "text", *["runs", "items"] * again).mapInArrow(run, f"{key} {kind}, text string, {SCHEMA}")
+    return docs.select(key, "text", *["runs", "items"] * again).mapInArrow(run, schema_of([docs.schema[key]], f"text string, {SCHEMA}"))
 
 
 def report(scanned: DataFrame, key: str = "doc_id", least: int = 2) -> DataFrame:
-    """Counts and a digest of what scan() found; contaminated: at least `least` items."""
+    """Counts and a digest of what scan() found; contaminated: at least `least` items; spans: the hit runs as start:end in characters of the original text, end exclusive."""
     return scanned.select(
         key,
         "n_words",
@@ -163,15 +161,36 @@ def report(scanned: DataFrame, key: str = "doc_id", least: int = 2) -> DataFrame
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("items") >= least).alias("contaminated"),
+        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x[0].cast("string"), x[1].cast("string"))), ",").alias("spans"),
     )
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def keep(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, limit: int = LIMIT) -> DataFrame:
     """docs without the rows that hold a run of `size` hit words or windows of two items; all columns."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), docs["text"].alias("text"))
     found = scan(packed, benchmark, size, limit, spans=False, key="_row")
     return found.where(~F.exists("runs", lambda r: r[1] - r[0] >= size) & (F.size("items") < 2)).select("_row.*")
+
+
+WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+#: The same by joins of word windows, the spans by sums of the lengths before them.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+dw AS (SELECT r, doc_id, regexp_extract_all(t, '{WORD}') AS w, string_split_regex(t, '{WORD}') AS g FROM d),
+bw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM benchmark WHERE text IS NOT NULL),
+wi AS (SELECT item, w, least(len(w), {SIZE}) AS k, unnest(generate_series(1, greatest(len(w) - {SIZE} + 1, 1))) AS i FROM bw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM wi),
+ks AS (SELECT DISTINCT k FROM win),
+dk AS (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM dw JOIN ks ON len(w) >= k),
+hit AS (SELECT dk.r, dk.k, dk.i, win.item FROM dk JOIN win ON win.k = dk.k AND win.win = array_to_string(dk.w[dk.i:dk.i + dk.k - 1], ' ')),
+pos AS (SELECT DISTINCT r, unnest(generate_series(i, i + k - 1)) AS i FROM (SELECT DISTINCT r, k, i FROM hit)),
+runs AS (SELECT r, min(i) AS a, max(i) AS b, count(*) AS n FROM (SELECT r, i, i - row_number() OVER (PARTITION BY r ORDER BY i) AS run FROM pos) GROUP BY r, run),
+spans AS (SELECT runs.r, sum(n) AS n_hit, string_agg(concat(
+  list_sum(list_transform(g[1:a], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:a - 1], lambda x: length(x))), 0), ':',
+  list_sum(list_transform(g[1:b], lambda x: length(x))) + list_sum(list_transform(w[1:b], lambda x: length(x)))), ',' ORDER BY a) AS spans FROM runs JOIN dw ON dw.r = runs.r GROUP BY runs.r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit WHERE item IS NOT NULL) GROUP BY r)
+SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated, coalesce(spans, '') AS spans
+FROM dw LEFT JOIN spans ON spans.r = dw.r LEFT JOIN items ON items.r = dw.r
+"""

@@ -42,7 +42,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=False))
+    return decontam.report(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_byte_bpe, op4_lm_scoring, op5_near_copies, op6_toxicity, op7_url_filters, op8_decontamination, op9_pii, op10_top_k)}
 
 
-SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op7_url_filters": urlfilter.SQL}
+SQL: dict[str, str] = {"op1_line_dedup": linededup.SQL, "op7_url_filters": urlfilter.SQL, "op8_decontamination": decontam.SQL}
 
 SQL["op10_top_k"] = """
 WITH v AS (

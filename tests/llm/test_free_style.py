@@ -104,7 +104,7 @@ def test_contamination_query(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = brute_contamination([r.text for r in docs], items)
     got = queries.op8_decontamination(spark, SF).orderBy("doc_id").collect()
-    assert [tuple(r) for r in got] == [(d.doc_id, *w) for d, w in zip(docs, want, strict=True)]
+    assert [tuple(r)[:6] for r in got] == [(d.doc_id, *w) for d, w in zip(docs, want, strict=True)]
     assert any(w[4] for w in want) or any(w[1] for w in want)
 
 
@@ -119,15 +119,33 @@ def test_language_accuracy(spark):
 
 
 def test_language_odd(spark):
-    docs = frame(spark, ODD + ["the and of", "12 34"])
+    docs = frame(spark, ODD + ["the and of", "12 34", "\u00bd \u2460 \u0301"])
     rows = langid.identify_held_out(docs).collect()
-    assert {r.lang_pred for r in rows if r.doc_id in (0, 1, 2, 13)} == {"und"}
+    assert {r.lang_pred for r in rows if r.doc_id in (0, 1, 2, 13, 14)} == {"und"}
     assert {r.lang_pred for r in rows if r.doc_id == 3} == {"en"}
     assert langid.identify_held_out(docs.limit(0)).count() == 0
     none = langid.identify_held_out(spark.createDataFrame([(None, "abc", None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()
     assert [(r.held_out, r.lang_pred) for r in none] == [(False, "und")]
 
 
+def test_every_language_is_learned():
+    """Many languages: their compressors are made in groups, with the same result."""
+    words = {f"l{k}": " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("ra", "mo", "ti", "su")) * 20 for k in range(300)}
+    content = langid.dictionaries({k: [langid.letters(t)] for k, t in words.items()})
+    found = langid.Classifier(content).classify(list(words.values()))
+    assert [x[0] for x in found] == list(words)
+    assert langid.letters("\u0915\u094d\u0937\u093f 12 A") == "\u0915\u094d\u0937\u093f a".encode()
+
+
+def test_contamination_in_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert sorted(map(tuple, queries.op8_decontamination(spark, SF).collect())) == sorted(con.execute(decontam.SQL).fetchall())
+
+
 def test_toxicity_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op6_toxicity(spark, sf).collect()
@@ -145,7 +163,7 @@ def test_toxicity_odd(spark):
     labels = spark.createDataFrame([(i, i % 2, 1) for i in range(14)] + [(3, None, 2), (None, 1, 3)], "doc_id bigint, toxic int, score int")
     rows = toxicity.classify(docs, labels).collect()
     assert len(rows) == len(ODD) + 3 and all(0 <= r.score <= 1 for r in rows)
-    assert {r.score for r in toxicity.classify(docs, labels.limit(0)).collect()} == {0.5 / 10 / (1 - 0.5 / 10 + 0.5 / 10)}
+    assert all(abs(r.score - 0.05) < 1e-9 for r in toxicity.classify(docs, labels.limit(0)).collect())
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
@@ -166,7 +184,7 @@ def test_top_k_odd(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 50)
     rnd = np.random.default_rng(5)
     rows = [(i, [float(np.float32(x)) for x in rnd.normal(size=6).round(1)]) for i in range(300)]
-    rows += [(300, None), (400, []), (500, [1.0, float("nan"), 0, 0, 0, 0]), (600, [float("inf")] * 6), (700, [None, 1.0]), (None, [1.0] * 6), (800, [1e20, 1.0]), (5, rows[5][1])]
+    rows += [(300, None), (400, []), (500, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0]), (600, [float("inf")] * 6), (700, [None, 1.0]), (None, [1.0] * 6), (800, [1e20, 1.0]), (5, rows[5][1])]
     df = spark.createDataFrame([(i, v, 1, "z") for i, v in rows], "vec_id bigint, embedding array<double>, rank int, score string")
     for every, k in ((10, 10), (1, 3)):
         small = [r for r in rows if r[0] != 800]
