@@ -3,12 +3,13 @@
 A url's host and path are cut out; rules judge the pages that they fit, the longest first. Rule-judged pages are the labels of the method:
 each host has a tree of path templates, three levels deep (first segment, second segment, all that follows).
 
-1. Segments get their shape: digits become {n}. Then, level by level, a node with over WIDE kinds of child and under FEW pages a kind is
+1. Segments get their shape: long hexadecimal runs become {x}, digits {n}. Then, level by level, a node with over WIDE kinds of child and under FEW pages a kind is
    variable there, and its children become one wildcard *.
 2. First-level branches of a host with at least SURE labelled pages whose share of blocked pages is within two standard errors of the host's are
    statistically similar and are merged into one branch ~.
-3. A template's purity is (blocked + WEIGHT * p0) / (labelled + WEIGHT), p0 the share of blocked pages among all labelled ones. A template of purity
-   PURE or more is rejected: its pages without a rule are blocked, all others are allowed.
+3. A template's purity is its share of blocked pages, smoothed by its parent's as WEIGHT pages more: a template by its branch, a branch by its host, a host by the same template
+   on all hosts, that by the share of all labelled pages. A template of purity PURE or more is rejected: its pages without a rule are blocked, all others are allowed. So a
+   template without labels goes by its branch's, its host's or other hosts' labels.
 
 All counts are aggregates over (host, shapes), combined before the shuffle; pages meet their template by an equi-join on these
 columns, which adaptive execution splits where a host or template is hot. No page list is ever collected.
@@ -20,16 +21,17 @@ are allowed; ids may be null or repeated, each row is judged; an empty table giv
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import bucket, checkpointed
 
 # The rules, as (verdict, rule).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 WIDE, FEW, SURE, WEIGHT, PURE = 32, 4, 5, 4.0, 0.8
 
 #: What the two dialects call the same things.
-SPARK = {"pages": "{pages}", "cut": "regexp_extract(rest, '^([^/?#]*)([^?#]*)', {})", "digits": "regexp_replace({}, '[0-9]+', '{{n}}')", "parts": "split(path, '/', 4)", "part": ["get(parts, 1)", "get(parts, 2)", "get(parts, 3)"]}
-DUCK = SPARK | {"pages": "pages", "digits": "regexp_replace({}, '[0-9]+', '{{n}}', 'g')", "parts": "string_split(path, '/')", "part": ["parts[2]", "parts[3]", "CASE WHEN len(parts) > 3 THEN array_to_string(parts[4:], '/') END"]}
+SPARK = {"pages": "{pages}", "cut": "regexp_extract(rest, '^([^/?#]*)([^?#]*)', {})", "shape": "regexp_replace(regexp_replace({}, '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}|[0-9a-f]{{16,}}', '{{x}}'), '[0-9]+', '{{n}}')", "parts": "split(path, '/', 4)", "part": ["get(parts, 1)", "get(parts, 2)", "get(parts, 3)"]}
+DUCK = SPARK | {"pages": "pages", "shape": "regexp_replace(regexp_replace({}, '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}|[0-9a-f]{{16,}}', '{{x}}', 'g'), '[0-9]+', '{{n}}', 'g')", "parts": "string_split(path, '/')", "part": ["parts[2]", "parts[3]", "CASE WHEN len(parts) > 3 THEN array_to_string(parts[4:], '/') END"]}
 
 
 def fits(rule: str) -> str:
@@ -47,7 +49,7 @@ def parsed(dialect: dict[str, str], rules: list[tuple[str, str]]) -> str:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     names = case({r: f"'{r}'" for _, r in rules})
     bad = case({r: str(int(v == "block")) for v, r in rules})
-    s1, s2, s3 = (f"coalesce({dialect['digits'].format(dialect['part'][k])}, '')" for k in range(3))
+    s1, s2, s3 = (f"coalesce({dialect['shape'].format(dialect['part'][k])}, '')" for k in range(3))
     return f"""
 a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {dialect["pages"]}),
 u AS (SELECT page_id, translate({dialect["cut"].format(1)}, '{upper}', '{upper.lower()}') AS host, {dialect["cut"].format(2)} AS path FROM a),
@@ -74,20 +76,45 @@ h AS (SELECT host, sum(bad) AS bad, sum(known) AS known FROM t3 GROUP BY host),
 b AS (SELECT host, g1, sum(known) AS known, sum(bad) AS bad FROM t3 GROUP BY host, g1),
 m AS (SELECT b.host, b.g1, CASE WHEN b.known >= {SURE} AND (b.bad * h.known - b.known * h.bad) * (b.bad * h.known - b.known * h.bad) <= 4 * b.known * h.bad * (h.known - h.bad) THEN '~' ELSE b.g1 END AS m1 FROM b JOIN h ON b.host = h.host),
 f AS (SELECT t3.*, m.m1 FROM t3 JOIN m ON t3.host = m.host AND t3.g1 = m.g1),
-q AS (SELECT host, m1, g2, g3, (CAST(sum(bad) AS DOUBLE) + {WEIGHT} * (SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(CAST(sum(known) AS DOUBLE), 0), 0) FROM t3)) / (CAST(sum(known) AS DOUBLE) + {WEIGHT}) AS purity FROM f GROUP BY host, m1, g2, g3),
-v AS (SELECT f.host, f.s1, f.s2, f.s3, concat('/', f.m1, '/', f.g2, '/', f.g3) AS template, q.purity FROM f JOIN q ON f.host = q.host AND f.m1 = q.m1 AND f.g2 = q.g2 AND f.g3 = q.g3)
+z AS (SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(CAST(sum(known) AS DOUBLE), 0), 0) AS p0 FROM t3),
+xt AS (SELECT g1, g2, g3, CAST(sum(bad) AS DOUBLE) AS bad, CAST(sum(known) AS DOUBLE) AS known FROM t3 GROUP BY g1, g2, g3),
+bt AS (SELECT host, m1, CAST(sum(bad) AS DOUBLE) AS bad, CAST(sum(known) AS DOUBLE) AS known FROM f GROUP BY host, m1),
+q AS (SELECT host, m1, g2, g3, CAST(sum(bad) AS DOUBLE) AS bad, CAST(sum(known) AS DOUBLE) AS known FROM f GROUP BY host, m1, g2, g3),
+v AS (SELECT f.host, f.s1, f.s2, f.s3, concat('/', f.m1, '/', f.g2, '/', f.g3) AS template,
+    (q.bad + {WEIGHT} * (bt.bad + {WEIGHT} * (h.bad + {WEIGHT} * (xt.bad + {WEIGHT} * z.p0) / (xt.known + {WEIGHT})) / (h.known + {WEIGHT})) / (bt.known + {WEIGHT})) / (q.known + {WEIGHT}) AS purity
+  FROM f JOIN q ON f.host = q.host AND f.m1 = q.m1 AND f.g2 = q.g2 AND f.g3 = q.g3 JOIN bt ON f.host = bt.host AND f.m1 = bt.m1 JOIN h ON f.host = h.host
+    JOIN xt ON f.g1 = xt.g1 AND f.g2 = xt.g2 AND f.g3 = xt.g3 CROSS JOIN z)"""
+
+VERDICT = f"""
 SELECT s.page_id, s.host, s.path, s.rule, CASE WHEN s.bad = 1 OR (s.bad IS NULL AND v.purity >= {PURE}) THEN 'block' ELSE 'allow' END AS verdict,
   v.template, round(v.purity, 6) AS purity
 FROM s JOIN v ON s.host = v.host AND s.s1 = v.s1 AND s.s2 = v.s2 AND s.s3 = v.s3"""
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, template, purity. The tree's counts are written before each use, not computed again."""
-    sql = pages.sparkSession.sql
-    s = sql(f"WITH {parsed(SPARK, rules)} SELECT * FROM s".replace("{n}", "{{n}}"), pages=pages.select("page_id", pages["url"].cast("string").alias("url")))
+def shapes(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """page_id, host, path, rule, bad (null without a rule), s1, s2, s3."""
+    text = f"WITH {parsed(SPARK, rules)} SELECT * FROM s".replace("{", "{{").replace("}", "}}").replace("{{pages}}", "{pages}")
+    return pages.sparkSession.sql(text, pages=pages.select("page_id", pages["url"].cast("string").alias("url")))
+
+
+def tree(s: DataFrame) -> DataFrame:
+    """The counts by host and shapes, with g1, g2, g3; written, not computed again for each use."""
+    sql = s.sparkSession.sql
     t0 = checkpointed(sql(COUNTED.replace("FROM s", "FROM {s}"), s=s))
-    t3 = checkpointed(sql(f"WITH t0 AS (SELECT * FROM {{t}}), {LEVELS} SELECT * FROM t3", t=t0))
-    return sql(f"WITH s AS (SELECT * FROM {{s}}), t3 AS (SELECT * FROM {{t}}), {JUDGED}", s=s, t=t3)
+    return checkpointed(sql(f"WITH t0 AS (SELECT * FROM {{t}}), {LEVELS} SELECT * FROM t3", t=t0))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict, template, purity."""
+    s = shapes(pages, rules)
+    return s.sparkSession.sql(f"WITH s AS (SELECT * FROM {{s}}), t3 AS (SELECT * FROM {{t}}), {JUDGED} {VERDICT}", s=s, t=tree(s))
+
+
+def agreement(pages: DataFrame, rules: list[tuple[str, str]] = RULES, every: int = 10) -> DataFrame:
+    """truth (1: blocked), verdict (the method's, 1: blocked) and n, for rule-judged pages of one id in `every`, whose labels the tree has not seen."""
+    s = shapes(pages, rules).withColumn("truth", F.col("bad")).withColumn("bad", F.when(F.coalesce(bucket(F.col("page_id"), every) != 0, F.lit(True)), F.col("bad")))
+    chosen = f"SELECT s.truth, CAST(v.purity >= {PURE} AS INT) AS verdict, count(*) AS n FROM s JOIN v ON s.host = v.host AND s.s1 = v.s1 AND s.s2 = v.s2 AND s.s3 = v.s3 WHERE s.truth IS NOT NULL AND s.bad IS NULL GROUP BY ALL"
+    return s.sparkSession.sql(f"WITH s AS (SELECT * FROM {{s}}), t3 AS (SELECT * FROM {{t}}), {JUDGED} {chosen}", s=s, t=tree(s))
 
 
-SQL = f"WITH {parsed(DUCK, RULES)},\nt0 AS ({COUNTED}), {LEVELS}, {JUDGED}"
+SQL = f"WITH {parsed(DUCK, RULES)},\nt0 AS ({COUNTED}), {LEVELS}, {JUDGED} {VERDICT}"
