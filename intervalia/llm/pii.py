@@ -1,13 +1,16 @@
 """Personal data by candidate gradient boosting, in DataFrame operations only.
 
 1. Base spans: each kind's pattern, leftmost and non-overlapping, with its check (octets, Luhn, number of digits). They always stay.
-2. Candidates: two high-recall patterns, one around @ and its spellings, one over runs of digits with separators; the
-   digit runs get a kind by their form. Each candidate has format features (digits, separators, brackets, plus) and context features (cue word before it,
-   what stands on either side), all of a few values, so that a candidate is one of a bounded number of cells.
-3. Over all texts, candidates are counted by cell and by whether they overlap a base span. Boosted trees are fitted to these counts: depth-two trees on the
-   features, logistic loss. A random half of the cells' counts (by a hash of the text) fits the trees, the other half calibrates: the threshold is the lowest score at
-   which at least PRECISION of the other half's candidates overlap a base span. Counts are sums over cells, so the driver gets a table whose size does not depend on the data.
-4. Candidates at or over the threshold that overlap no base span are added.
+2. Candidates: three high-recall patterns, whose matches may overlap: around @ and its spellings; runs of digits with separators, which get a kind by their form; long runs of
+   letters and digits, of the kind secret. Each has a check (a name at the end of a host, octets, Luhn, number of digits and no letter beside them, letters and digits mixed), format
+   features (digits or length, separators or alphabet, bracket, plus) and context features (cue word before it, what stands on either side), all of a few values, so
+   that a candidate is one of a bounded number of cells.
+3. Labels: a candidate that overlaps a base span is personal, and so is each such span in another spelling (@ and dots as words, a phone number without its country code, a card with
+   dots), which the base would not find; a secret is personal where a word such as token or password stands before it, which is none of its features. A candidate that fails its check
+   is not personal. All others are unknown. Over all texts, candidates are counted by cell and label. Boosted trees of depth two are fitted to the counts of a random half of the texts
+   (by a hash); the other half calibrates a threshold for each kind: the lowest score, of even odds at least, at which PRECISION of its labelled candidates are personal. Counts are sums over
+   cells, so the driver gets a table whose size does not depend on the data.
+4. Candidates at or over their kind's threshold that pass their check and overlap no base span are added.
 
 Positions come from the gaps between matches, in code points. Patterns start only where a match of the contract's pattern can start, and use
 possessive groups: no run of characters is scanned from each of its positions, none needs a deep stack.
@@ -23,7 +26,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the base, and one that only the method adds.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 #: The contract's patterns, in forms that need no backtracking from every position.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -35,10 +40,12 @@ PATTERNS = {
 NEEDS = {"email": "@[A-Za-z0-9-]++[.]", "ip": "[0-9][.][0-9]", "card": "[0-9][ -]?[0-9]", "phone": "[+][0-9]"}
 AT = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:@|[(\[](?:at|AT)[)\]]) ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]++)*+"
 RUN = r"(?<![0-9])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,}+"
+KEY = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+"
 CUE = r"(?i)(mail|phone|tel|call|fax|card|visa|account|server|host|address|ip)[^ ]* $"
+KEY_CUE = r"(?i)(key|token|secret|passw(or)?d|pwd|bearer|auth)[^A-Za-z0-9]{1,5}$"
 PRECISION = 0.98
 ROUNDS, SHRINK, SMOOTH = 40, 0.3, 1.0
-FEATURES = ("kind", "digits", "separators", "bracket", "plus", "cue", "before", "after")
+FEATURES = ("kind", "check", "digits", "separators", "bracket", "plus", "cue", "before", "after")
 
 
 def matches(text: Column, kind_pattern: str, needs: str) -> Column:
@@ -69,9 +76,9 @@ def valid(kind: str) -> str:
 def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, _t (text), _base array<struct<s, k, e>>: start, place of the kind in KINDS, end; in order."""
     df = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_t"))
-    df = df.select("*", *[matches(F.col("_t"), PATTERNS[k], NEEDS[k]).alias(f"_m_{k}") for k in KINDS])
-    df = df.select("doc_id", "_t", *[F.expr(f"case when size(_m_{k}) = 0 then cast(array() as array<struct<s:int,e:int,m:string>>) else {placed_text(k)} end").alias(f"_p_{k}") for k in KINDS])
-    spans = [F.expr(f"transform(filter(_p_{k}, x -> {valid(k)}), x -> struct(x.s as s, {i} as k, x.e as e))") for i, k in enumerate(KINDS)]
+    df = df.select("*", *[matches(F.col("_t"), PATTERNS[k], NEEDS[k]).alias(f"_m_{k}") for k in BASE])
+    df = df.select("doc_id", "_t", *[F.expr(f"case when size(_m_{k}) = 0 then cast(array() as array<struct<s:int,e:int,m:string>>) else {placed_text(k)} end").alias(f"_p_{k}") for k in BASE])
+    spans = [F.expr(f"transform(filter(_p_{k}, x -> {valid(k)}), x -> struct(x.s as s, {i} as k, x.e as e))") for i, k in enumerate(BASE)]
     return df.select("doc_id", "_t", F.array_sort(F.concat(*spans)).alias("_base"))
 
 
@@ -91,25 +98,60 @@ PLACED = """flatten(aggregate(
   acc -> acc.out))"""
 
 
+DIGITS = "length(regexp_replace({m}, '[^0-9]', ''))"
+
+
+def beside(c: str, none: str) -> str:
+    """The class of a neighbouring character."""
+    return f"case when {c} = '' then '{none}' when {c} rlike '[0-9A-Za-z]' then 'x' when {c} rlike '[[:space:]]' then ' ' when ascii({c}) in (34, 39, 96) then 'q' else '.' end".replace("[[:space:]]", "[ \\\\t\\\\n]")
+
+
+def cell(m: str) -> str:
+    """The features of x in the spelling m, in the order of FEATURES."""
+    digits = DIGITS.format(m=m)
+    return f"""concat_ws('|', x.k, cast(x.ok as int),
+      case when x.k = 4 then least(length({m}) div 8, 8) else least({digits}, 20) end,
+      case when x.k = 0 then case when {m} like '%@%' then '@' else 'at' end
+        when x.k = 4 then case when {m} rlike '^[0-9a-f]+$' then 'hex' when {m} rlike '^[0-9A-Z]+$' then 'upper' else 'mixed' end
+        else substr(regexp_replace({m}, '[0-9A-Za-z+]', ''), 1, 4) end,
+      cast({m} like '%(%' as int), cast({m} like '%+%' as int), x.cue, x.before, x.after)"""
+
+
 def candidates(based: DataFrame) -> DataFrame:
-    """Adds _cand array<struct<s, k, e, hit, cell>>: hit if it overlaps a base span; cell: its features, joined by |."""
-    df = based.select("*", matches(F.col("_t"), AT, "@|(?i)[(\\[]at[)\\]]").alias("_m_at"), matches(F.col("_t"), RUN, "[0-9]").alias("_m_run"))
-    none = "cast(array() as array<struct<s:int,e:int,m:string>>)"
-    df = df.select("doc_id", "_t", "_base", F.expr(f"concat(case when size(_m_at) = 0 then {none} else {placed_text('at')} end, case when size(_m_run) = 0 then {none} else {placed_text('run')} end)").alias("_all"))
-    digits = "length(regexp_replace(x.m, '[^0-9]', ''))"
-    kind = f"case when x.m rlike '@|[(\\\\[](at|AT)[)\\\\]]' then 0 when x.m rlike '^[0-9]+([.][0-9]+){{3}}$' then 1 when {digits} between 12 and 19 and x.m rlike '^[0-9](?:[ -]?[0-9])++$' then 2 else 3 end"
-    cell = f"""concat_ws('|', {kind}, least({digits}, 20), least(length(regexp_replace(x.m, '[0-9A-Za-z]', '')), 8),
-      cast(x.m like '%(%' as int), cast(x.m like '%+%' as int),
-      lower(regexp_extract(substr(_t, greatest(x.s - 15, 1), least(x.s, 16)), '{CUE}', 1)),
-      case when x.s = 0 then '^' else regexp_replace(regexp_replace(substr(_t, x.s, 1), '[^ \\\\n.,:;=]', 'x'), '[.,:;=]', '.') end,
-      case when substr(_t, x.e + 1, 1) = '' then '$' else regexp_replace(regexp_replace(substr(_t, x.e + 1, 1), '[^ \\\\n.,:;=]', 'x'), '[.,:;=]', '.') end)"""
-    return df.select("doc_id", "_t", "_base", F.expr(f"transform(_all, x -> struct(x.s as s, {kind} as k, x.e as e, exists(_base, b -> b.s < x.e and x.s < b.e) as hit, {cell} as cell))").alias("_cand"))
+    """Adds _cand array<struct<s, k, e, hit, ok, cell, rows>>: hit if it overlaps a base span, ok if it passes its check, cell: its features; rows: what it teaches, as cell and label."""
+    found = {"at": (AT, "@|(?i)[(\\[]at[)\\]]"), "run": (RUN, "[0-9]"), "key": (KEY, "[A-Za-z0-9_-]{16}")}
+    df = based.select("*", *[matches(F.col("_t"), pattern, needs).alias(f"_m_{n}") for n, (pattern, needs) in found.items()])
+    digits = DIGITS.format(m="x.m")
+    run = f"case when x.m rlike '^[0-9]+([.][0-9]+){{3}}$' then 1 when {digits} between 12 and 19 and x.m rlike '^[0-9](?:[ .-]?[0-9])++$' then 2 else 3 end"
+    kinds = {"at": "0", "run": run, "key": "4"}
+    none = "cast(array() as array<struct<s:int,e:int,m:string,k:int>>)"
+    each = ", ".join(f"case when size(_m_{n}) = 0 then {none} else transform({placed_text(n)}, x -> struct(x.s as s, x.e as e, x.m as m, cast({k} as int) as k)) end" for n, k in kinds.items())
+    df = df.select("doc_id", "_t", "_base", F.expr(f"concat({each})").alias("_all"))
+    before, after = beside("substr(_t, x.s, least(x.s, 1))", "^"), beside("substr(_t, x.e + 1, 1)", "$")
+    ok = f"""case when x.k = 0 then x.m rlike '([.]|(dot|DOT)[)\\\\]]) ?[A-Za-z]{{2,}}$' when x.k = 1 then {valid("ip")} when x.k = 2 then {valid("card")}
+      when x.k = 3 then {digits} between 9 and 15 and {before} <> 'x' and {after} <> 'x' else x.m rlike '[0-9]' and x.m rlike '[A-Za-z]' and length(x.m) >= 20 end"""
+    back = "substr(_t, greatest(x.s - 15, 1), least(x.s, 16))"
+    cue = f"case when x.k = 4 then '' else lower(regexp_extract({back}, '{CUE}', 1)) end"
+    known = f"""transform(_all, x -> struct(x.s as s, x.k as k, x.e as e, x.m as m, exists(_base, b -> b.s < x.e and x.s < b.e) as hit, {ok} as ok,
+      {cue} as cue, x.k = 4 and {back} rlike '{KEY_CUE}' as named, {before} as before, {after} as after))"""
+    df = df.select("doc_id", "_t", "_base", F.expr(known).alias("_all"))
+    # Other spellings of what the base finds: they stand for what it misses.
+    other = {
+        0: "replace(replace(x.m, '@', ' (at) '), '.', ' (dot) ')",
+        2: "regexp_replace(x.m, '[ -]', '.')",
+        3: "regexp_replace(x.m, '^[+][0-9]{1,3}[ .-]?', '')",
+    }
+    spelled = " ".join(f"when x.hit and x.k = {k} then array(struct({cell(m)} as cell, true as y))" for k, m in other.items())
+    empty = "cast(array() as array<struct<cell:string,y:boolean>>)"
+    label = "case when x.hit or (x.named and x.ok) then true when not x.ok then false end"
+    rows = f"concat(array(struct({cell('x.m')} as cell, {label} as y)), case {spelled} else {empty} end)"
+    return df.select("doc_id", "_t", "_base", F.expr(f"transform(_all, x -> struct(x.s as s, x.k as k, x.e as e, x.hit as hit, x.ok as ok, {cell('x.m')} as cell, {rows} as rows))").alias("_cand"))
 
 
 def counts(cands: DataFrame) -> list[tuple[str, bool, int, int]]:
-    """cell, half, candidates, hits: sums over all texts; the number of cells is bounded by the features' values."""
+    """cell, half, labelled candidates, personal ones: sums over all texts; the number of cells is bounded by the features' values."""
     half = (F.pmod(F.xxhash64("_t"), F.lit(2)) == 0).alias("half")
-    rows = cands.select(half, F.explode("_cand").alias("c")).groupBy("c.cell", "half").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.hit").cast("bigint")).alias("hits"))
+    rows = cands.select(half, F.explode(F.flatten("_cand.rows")).alias("c")).groupBy("c.cell", "half").agg(F.count("c.y").alias("n"), F.count_if("c.y").alias("hits"))
     return [(r.cell, r.half, r.n, r.hits) for r in rows.collect()]
 
 
@@ -149,21 +191,24 @@ def boosted(cells: list[tuple[str, ...]], n: list[float], hits: list[float], rou
 
 
 def selected(table: list[tuple[str, bool, int, int]], precision: float = PRECISION) -> list[str]:
-    """The cells whose score reaches the calibrated threshold."""
+    """The cells whose score reaches their kind's calibrated threshold."""
     names = sorted({c for c, *_ in table})
     if not names:
         return []
     by = {(c, half): (n, hits) for c, half, n, hits in table}
     fit, rest = ([by.get((c, half), (0, 0)) for c in names] for half in (True, False))
     score = boosted([tuple(c.split("|")) for c in names], [x[0] for x in fit], [x[1] for x in fit])
-    threshold, n, hits = math.inf, 0, 0
-    order = sorted(range(len(names)), key=lambda i: -score[i])
-    for at, i in enumerate(order):
-        n, hits = n + rest[i][0], hits + rest[i][1]
-        last = at + 1 == len(order) or score[order[at + 1]] < score[i]
-        if last and n and hits >= precision * n:
-            threshold = score[i]
-    return [c for c, s in zip(names, score, strict=True) if s >= threshold]
+    out: list[str] = []
+    for kind in range(len(KINDS)):
+        own = sorted((i for i, c in enumerate(names) if c.split("|")[0] == str(kind)), key=lambda i: -score[i])
+        threshold, n, hits = math.inf, 0, 0
+        for at, i in enumerate(own):
+            n, hits = n + rest[i][0], hits + rest[i][1]
+            last = at + 1 == len(own) or score[own[at + 1]] < score[i]
+            if last and n and hits >= precision * n and score[i] >= 0:
+                threshold = score[i]
+        out += [names[i] for i in own if score[i] >= threshold]
+    return sorted(out)
 
 
 def find(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
@@ -172,7 +217,7 @@ def find(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     cells = selected(counts(cands), precision)
     # A list of cells is as long as the features' values allow, not as the data.
     chosen = F.array(*map(F.lit, cells)) if cells else F.expr("cast(array() as array<string>)")
-    added = F.transform(F.filter("_cand", lambda c: ~c.hit & F.array_contains(chosen, c.cell)), lambda c: F.struct(c.s.alias("s"), c.k.alias("k"), c.e.alias("e")))
+    added = F.transform(F.filter("_cand", lambda c: ~c.hit & c.ok & F.array_contains(chosen, c.cell)), lambda c: F.struct(c.s.alias("s"), c.k.alias("k"), c.e.alias("e")))
     return cands.select("doc_id", F.col("_t").alias("text"), F.col("_base").alias("base"), F.array_sort(F.array_union("_base", added)).alias("spans"))
 
 
@@ -184,7 +229,7 @@ def listed(name: str) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     found = find(docs)
-    n = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) as bigint) as n_{k}") for i, k in enumerate(KINDS)]
+    n = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) as bigint) as n_{k}") for i, k in enumerate(BASE)]
     return found.select("doc_id", *n, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
