@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each gets what its predecessor kept and returns the columns of documents, the last one the digests of the encoded texts.
 
 1. toxicity: documents that score 0.5 or more go.
-2. line dedup: boilerplate lines of each source go; documents stay.
+2. line dedup: boilerplate lines of each source go; documents stay, those of nothing but boilerplate whole, as they are copies that the next stage thins.
 3. near copies: links at a similarity of 0.80 of the sets of five-word runs (op5 links at 0.85); of each component the document of the smallest id stays; documents without words stay.
 4. decontamination: documents that hold eight words in a row of a benchmark item, or windows of two items, go.
 5. byte-level BPE: encoded and decoded; ids and bytes as digests.
@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.clean(docs)
+    return linededup.clean(docs, spare=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
