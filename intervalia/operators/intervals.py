@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BIN = 100_000
 
@@ -15,11 +20,14 @@ def range_count(queries: DataFrame, points: DataFrame, ranges: dict[str, tuple[C
 
     Counts are differences of cumulative counts. A cumulative count is the points of all earlier bins plus those of the own bin up to
     the position, so that the sort unit is one bin of one chromosome, not a chromosome; the sums over bins are a small table.
-    Positions are counted before the shuffle, so wide ranges cost no more than narrow ones.
+    Positions are counted before the shuffle, so wide ranges cost no more than narrow ones. Repeated query rows come back as often as they stand; a null bound or chromosome counts nothing.
     """
     keys = queries.columns
-    packed = queries.select(F.struct(*keys).alias("_q"), "chr", *[c.cast("double").alias(f"_{n}_{k}") for n, r in ranges.items() for k, c in zip(("lo", "hi"), r, strict=True)])
+    packed = queries.select(F.struct(*keys).alias("_q"), "chr", *[F.when(r[0].isNotNull() & r[1].isNotNull(), c.cast("double")).alias(f"_{n}_{k}") for n, r in ranges.items() for k, c in zip(("lo", "hi"), r, strict=True)])
     ends = [F.struct(F.lit(n).alias("name"), F.col(f"_{n}_{k}").alias("at"), F.lit(o).alias("ord"), F.lit(s).cast("bigint").alias("sign")) for n in ranges for k, o, s in (("lo", 0, -1), ("hi", 2, 1))]
+    # One more entry for each row, near its bounds, counts how often equal rows stand.
+    place = F.coalesce(*[F.col(f"_{n}_{k}") for n in ranges for k in ("lo", "hi")], F.lit(0.0))
+    ends.append(F.struct(F.lit("").alias("name"), place.alias("at"), F.lit(2).alias("ord"), F.lit(0).cast("bigint").alias("sign")))
     asked = packed.select("_q", "chr", F.explode(F.array(*ends)).alias("e")).select("_q", "chr", "e.*").where("at is not null")
     bins = lambda c: F.floor(c / bin_size).cast("bigint")
     counted = points.groupBy("chr", F.col("start").cast("double").alias("at")).agg(F.count(F.lit(1)).alias("n")).withColumn("_bin", bins(F.col("at")))
@@ -35,8 +43,9 @@ def range_count(queries: DataFrame, points: DataFrame, ranges: dict[str, tuple[C
     inside = Window.partitionBy("chr", "_bin").orderBy("at", "ord").rowsBetween(Window.unboundedPreceding, 0)
     cumulative = rows.withColumn("_c", F.sum("n").over(inside)).where("name is not null").join(before, ["chr", "_bin"], "left")
     value = F.col("sign") * (F.col("_c") + F.coalesce("_before", F.lit(0)))
-    sums = cumulative.groupBy("_q").agg(*[F.greatest(F.sum(F.when(F.col("name") == n, value)), F.lit(0)).alias(n) for n in ranges])
-    return sums.select("_q.*", *ranges)
+    sums = cumulative.groupBy("_q").agg(F.count_if(F.col("name") == "").alias("_times"), *[F.greatest(F.sum(F.when(F.col("name") == n, value)), F.lit(0)).alias(n) for n in ranges])
+    counts = [F.floor(F.col(n) / F.col("_times")).cast("bigint").alias(n) for n in ranges]
+    return sums.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_q.*", *counts)
 
 
 def range_join(intervals: DataFrame, points: DataFrame, lo: Column, hi: Column, width: int = 5_000) -> DataFrame:
@@ -70,12 +79,15 @@ def merge_intervals(df: DataFrame) -> DataFrame:
 def nearest_genes(peaks: DataFrame, genes: DataFrame, k: int = 2, limit: int = 500_000) -> DataFrame:
     """chr, start, end and refseq, gene, direction, distance of the k nearest genes, numbered from 1; null where a chromosome has fewer.
 
-    The distance is 0 for an overlap, else the gap plus one, negative upstream. Ties go by gene start, end and refseq. Gene tables are a genome's annotation:
-    up to `limit` rows they are sent to all tasks as one sorted list for each chromosome and searched there; a larger table is joined by chromosome.
+    The distance is 0 for an overlap, else the gap plus one, negative upstream. Ties go by gene start, end and refseq; genes without bounds are near nothing. Gene tables are a genome's
+    annotation: up to `limit` rows they are sent to all tasks, sorted by chromosome, and searched there by bisection, without a shuffle of pairs; a larger table is joined by chromosome.
     """
     unique = peaks.select("chr", "start", "end").distinct()
-    g = genes.select(F.col("chr").alias("_chr"), F.col("start").alias("gs"), F.col("end").alias("ge"), "refseq", "gene", F.col("strand").alias("direction"))
-    g = F.broadcast(g) if genes.limit(limit + 1).count() <= limit else g
+    g = genes.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    g = g.select(F.col("chr").alias("_chr"), F.col("start").cast("bigint").alias("gs"), F.col("end").cast("bigint").alias("ge"), "refseq", "gene", F.col("strand").alias("direction"))
+    some = g.limit(limit + 1).collect()
+    if len(some) <= limit:
+        return _searched(unique, some, k)
     distance = F.when(F.col("gs") > F.col("end"), F.col("gs") - F.col("end") + 1).when(F.col("ge") < F.col("start"), F.col("ge") - F.col("start") - 1).otherwise(0)
     near = F.struct(F.abs(distance).alias("far"), "gs", "ge", "refseq", "gene", "direction", distance.alias("distance"))
     joined = unique.join(g, F.col("chr") == F.col("_chr"), "left").select("chr", "start", "end", F.when(F.col("_chr").isNotNull(), near).alias("_near"))
@@ -84,6 +96,58 @@ def nearest_genes(peaks: DataFrame, genes: DataFrame, k: int = 2, limit: int = 5
     return best.select("chr", "start", "end", *[F.get("_best", i)[c].alias(f"{n}{i + 1}") for i in range(k) for c, n in (("refseq", "refseq"), ("gene", "gene"), ("direction", "direction"), ("distance", "distance"))])
 
 
+class GeneIndex:
+    """The genes of one chromosome, by start and by end."""
+
+    def __init__(self, genes: list[tuple]):
+        """(start, end, refseq, gene, direction) each."""
+        self.genes = sorted(genes, key=self.order)
+        self.starts = [g[0] for g in self.genes]
+        # The first gene whose running largest end reaches a position is the first that ends there or after it.
+        self.reach = list(accumulate((g[1] for g in self.genes), max))
+        self.by_end = sorted(reversed(self.genes), key=lambda g: g[1])
+        self.ends = [g[1] for g in self.by_end]
+
+    @staticmethod
+    def order(g: tuple) -> tuple:
+        return g[0], g[1], *((x is not None, x or "") for x in g[2:])
+
+    def nearest(self, start: int, end: int, k: int) -> list[tuple]:
+        """(distance, gene) of the k nearest."""
+        found, i = [], bisect_left(self.reach, start)
+        while i < len(self.genes) and self.starts[i] <= end and len(found) < k:
+            if self.genes[i][1] >= start:
+                found.append((0, self.genes[i]))
+            i += 1
+        after, before = bisect_right(self.starts, end), bisect_left(self.ends, start)
+        found += [(g[0] - end + 1, g) for g in self.genes[after : after + k]]
+        found += [(g[1] - start - 1, g) for g in self.by_end[max(0, before - k) : before] if g[0] <= end]
+        return sorted(found, key=lambda x: (abs(x[0]), self.order(x[1])))[:k]
+
+
+def _searched(unique: DataFrame, genes: list, k: int) -> DataFrame:
+    by: dict[str, list[tuple]] = {}
+    for g in genes:
+        by.setdefault(g["_chr"], []).append((g.gs, g.ge, g.refseq, g.gene, g.direction))
+    shared = unique.sparkSession.sparkContext.broadcast(by)
+    names = [(f"{n}{i + 1}", t) for i in range(k) for n, t in (("refseq", "string"), ("gene", "string"), ("direction", "string"), ("distance", "bigint"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[str, GeneIndex] = {}
+        for batch in batches:
+            rows = []
+            for c, start, end in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if c not in index:
+                    index[c] = GeneIndex(shared.value.get(c, []))
+                found = index[c].nearest(start, end, k) if start is not None and end is not None else []
+                row = [x for d, g in found for x in (*g[2:], d)]
+                rows.append(row + [None] * (len(names) - len(row)))
+            made = [pa.array([r[j] for r in rows], pa.int64() if t == "bigint" else pa.string()) for j, (_, t) in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=["chr", "start", "end", *(n for n, _ in names)])
+
+    return unique.mapInArrow(run, T.StructType([*unique.schema.fields, *(T.StructField(n, T.LongType() if t == "bigint" else T.StringType()) for n, t in names)]))
+
+
 def _two(joined: DataFrame) -> DataFrame:
     """Least and second least struct by aggregates that combine before the shuffle."""
     first = joined.groupBy("chr", "start", "end").agg(F.min("_near").alias("_1"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,6 +100,52 @@ def motif_bed(t):
     return io.motif_bed(peaks.islands(t.ins))
 
 
+# --- files: written, and read by the reader -------------------------------------------------------------------------------
+def written(t, df: DataFrame, header: bool = False, sep: str = "\t") -> str:
+    """The path of df as text, in the shared folder if the cluster names one."""
+    folder = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="files-")
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("sep", sep).option("header", header).csv(path)
+    return path
+
+
+@query('\nSELECT chr, start, end_ AS "end", reads, direction, barcode FROM ins')
+def read_qbed(t):
+    return io.read_qbed(t.spark, written(t, t.ins.select("chr", "start", "end", "reads", "direction", "barcode")))
+
+
+@query('\nSELECT chr, start, start + 4 AS "end" FROM sites')
+def read_reference_sites(t):
+    return io.read_bed(t.spark, written(t, t.sites.select("chr", "start", (F.col("start") + 4).alias("end"))))
+
+
+@query("\nSELECT DISTINCT barcode FROM obs")
+def read_barcodes(t):
+    return io.read_barcodes(t.spark, written(t, t.obs, header=True))
+
+
+@query("\nSELECT gene, grp AS sample, value FROM (SELECT gene, grp, sum(value) AS value FROM rna GROUP BY 1, 2)")
+def read_rna(t):
+    wide = t.rna.groupBy("gene").pivot("group").agg(F.sum("value"))
+    return io.read_rna(t.spark, written(t, wide, header=True, sep=",")).where("value is not null")
+
+
+@query("\nSELECT chr_id, chr_pos, trait FROM gwas")
+def read_gwas(t):
+    return io.read_gwas(t.spark, written(t, t.gwas.select(F.col("chr_id").alias("CHR_ID"), F.col("chr_pos").alias("CHR_POS"), F.col("trait").alias("DISEASE/TRAIT")), header=True, sep=","))
+
+
+@query("\nSELECT gene AS motif, pvalue, pvalue_adj AS qvalue FROM rna")
+def read_motifs(t):
+    named = t.rna.select(F.col("gene").alias("Motif Name"), F.col("pvalue").alias("P-value"), F.col("pvalue_adj").alias("q-value (Benjamini)"))
+    return io.read_motifs(t.spark, written(t, named, header=True))
+
+
+@query('\nSELECT chr, start, end_ AS "end", value FROM signal')
+def read_bedgraph(t):
+    return io.read_bedgraph(t.spark, written(t, t.signal.select("chr", "start", "end", "value")))
+
+
 # --- intervals --------------------------------------------------------------------------------------------------------
 @query(INT_ISLANDS + f'\nSELECT chr, start, end_ AS "end", n, {rc("sites", "p.start - 3", "p.end_")} AS sites, {rc("bg", "p.start - 3", "p.end_")} AS background FROM islands p')
 def range_count(t):
@@ -516,9 +564,12 @@ def signal_matrix(t):
     return rounded(views.signal_matrix(peaks.islands(t.ins), t.signal, nbins=10), "value")
 
 
-@query(SIGNAL + "\nSELECT CAST(bin AS INTEGER) AS bin, round(avg(value), 6) AS mean FROM sm GROUP BY 1")
+BAND = "round(list_sort(list(value))[CAST(least(floor(count(*) * {}), count(*) - 1) AS INTEGER) + 1], 6)"
+
+
+@query(SIGNAL + f"\nSELECT CAST(bin AS INTEGER) AS bin, round(avg(value), 6) AS mean, {BAND.format(0.025)} AS low, {BAND.format(0.975)} AS high FROM sm GROUP BY 1")
 def signal_profile(t):
-    return rounded(views.signal_profile(views.signal_matrix(peaks.islands(t.ins), t.signal, nbins=10)).select("bin", "mean"), "mean")
+    return rounded(views.signal_profile(views.signal_matrix(peaks.islands(t.ins), t.signal, nbins=10)), "mean", "low", "high")
 
 
 @query("\nSELECT chr, start, reads, round(ln(reads + 1), 6) AS height FROM ins WHERE chr = 'chr3' AND end_ >= 500000 AND start <= 900000")

@@ -28,7 +28,7 @@ def tidy(v):
     return None if v is None else round(v, 6) + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["clean_qbed", "ccaller_nobg", "ccaller_bg", "range_count", "merge_intervals", "annotate_knn2", "count_matrix", "rank_groups_fisher", "gwas_traits", "liftover", "maccs_window_stats", "dotplot_sc", "event_sessions"])
+@pytest.mark.parametrize("name", ["clean_qbed", "ccaller_nobg", "ccaller_bg", "range_count", "range_count_wide", "merge_intervals", "annotate_knn2", "signal_profile", "read_qbed", "read_reference_sites", "read_barcodes", "read_rna", "read_gwas", "read_motifs", "read_bedgraph", "combine_peaks", "count_matrix", "rank_groups_fisher", "gwas_traits", "liftover", "maccs_window_stats", "dotplot_sc", "event_sessions"])
 def test_query_in_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -246,3 +246,25 @@ def test_streaming_sessions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("SELECT * FROM counts").collect())) == sorted(map(tuple, sessions.window_counts(events.withColumn("ts", F.col("ts").cast("timestamp"))).collect()))
+
+
+def test_range_count_of_repeated_rows(spark):
+    points = spark.createDataFrame([("a", 12), ("a", 15), ("b", 3)], "chr string, start bigint")
+    asked = spark.createDataFrame([("a", 10, 20), ("a", 10, 20), ("a", 13, 20), (None, 1, 2), ("a", None, 20), ("c", 1, 9)], "chr string, start bigint, end bigint")
+    got = intervals.range_count(asked, points, {"n": (F.col("start"), F.col("end"))}).collect()
+    want = [("a", 10, 20, 2), ("a", 10, 20, 2), ("a", 13, 20, 1), (None, 1, 2, 0), ("a", None, 20, 0), ("c", 1, 9, 0)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nearest_genes_by_hand(spark, seed):
+    rnd = random.Random(seed)
+    genes = [(s, s + rnd.choice([0, 3, 40, 400]), f"r{rnd.randint(0, 5)}", f"g{i}", "+") for i, s in enumerate(rnd.choices(range(300), k=40))]
+    index = intervals.GeneIndex(genes)
+    for _ in range(300):
+        a = rnd.randint(0, 350)
+        b = a + rnd.choice([0, 5, 60])
+        far = [((g[0] - b + 1 if g[0] > b else g[1] - a - 1 if g[1] < a else 0), g) for g in genes]
+        want = sorted(far, key=lambda x: (abs(x[0]), x[1]))
+        for k in (1, 2, 5):
+            assert index.nearest(a, b, k) == want[:k]
