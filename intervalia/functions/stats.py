@@ -22,9 +22,9 @@ def poisson_sf(k: Column, mu: Column) -> Column:
 
 
 def cumulative_poisson(exp: Column, bg: Column, total_exp: Column, total_bg: Column, pseudo: float) -> Column:
-    """The tail of the experiment against the background, the larger library scaled down."""
-    down = poisson_sf(exp + pseudo, bg * (total_exp / total_bg) + pseudo)
-    up = poisson_sf(exp * (total_bg / total_exp) + pseudo, bg + pseudo)
+    """The tail of the experiment against the background, the larger library scaled down; null where both are empty."""
+    down = poisson_sf(exp + pseudo, bg * F.try_divide(total_exp, total_bg) + pseudo)
+    up = poisson_sf(exp * F.try_divide(total_bg, total_exp) + pseudo, bg + pseudo)
     return F.when(total_bg >= total_exp, down).otherwise(up)
 
 

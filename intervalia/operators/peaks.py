@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..sources import schema as S
-from .intervals import range_count, union_all
+from .intervals import range_count, range_join, union_all
 
 TPH = 100_000_000
 
@@ -98,11 +98,11 @@ def _with_fdr(df: DataFrame, p: str, out: str, reference: str, cutoff: float) ->
     return stats.adjusted_genome(df, p, out, S.GENOME[reference]).where(F.col(out) <= cutoff)
 
 
-def candidate_windows(exp: DataFrame, window: int, step: int, h: int, min_insertions: int = 1) -> DataFrame:
-    """chr, k, start, n: windows of the chromosome's grid (from its least position) with enough insertions. Each position proposes the windows that hold it; no empty window is made."""
+def candidate_windows(exp: DataFrame, window: int, step: int, h: int, min_insertions: int = 1, origin: int | None = None) -> DataFrame:
+    """chr, k, start, n: windows of the chromosome's grid (from its least position, or from `origin`) with enough insertions. Each position proposes the windows that hold it; no empty window is made."""
     pos = positions(exp)
     least = F.broadcast(pos.groupBy("chr").agg(F.min("start").alias("_o")))
-    p = pos.join(least, "chr")
+    p = pos.join(least, "chr") if origin is None else pos.withColumn("_o", F.lit(origin).cast("bigint"))
     first = F.greatest(F.ceil((F.col("start") - F.col("_o") - window + 1) / step), F.lit(0))
     last = F.floor((F.col("start") - F.col("_o") + h) / step)
     grid = p.where(last >= first).withColumn("k", F.explode(F.sequence(first, last)))
@@ -156,8 +156,6 @@ def window_peaks(exp: DataFrame, significant: DataFrame, window: int, step: int,
     cut = F.when(F.col("start") - F.lag("start").over(w) > 3 * window + 2 * step + extend + 2 * h + last, 1).otherwise(0)
     chunks = pos.withColumn("_cut", cut).withColumn("_chunk", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # A window belongs to the chunk of its first insertion.
-    from .intervals import range_join
-
     owner = range_join(significant.select("chr", "k", "start"), chunks, F.col("start") - h, F.col("start") + window - 1)
     owner = owner.groupBy("chr", "k", "start").agg(F.min("_point._chunk").alias("_chunk")).join(least, "chr")
 
@@ -211,19 +209,53 @@ def call_windows(exp: DataFrame, sites: DataFrame, background: DataFrame | None
     return _with_fdr(out, "pvalue_reference", "pvalue_adj_reference", reference, pvalue_cutoff_sites if pvalue_adj_cutoff is None else pvalue_adj_cutoff)
 
 
-def call_windows_max_rate(exp: DataFrame, sites: DataFrame, background: DataFrame, reference: str = "mm10", pvalue_cutoff: float = 1e-4, min_insertions: int = 5, window_size: int = 1500, step_size: int = 500, pseudocounts: float = 0.2) -> DataFrame:
-    """The older window caller: the rate is the largest of the background's and of three local ones (1, 5, 10 kb around the centre)."""
-    df = call_windows(exp, sites, background, reference, pvalue_cutoff, 1.0, 1.0, 1.0, min_insertions, 0, window_size, step_size, None, pseudocounts)
-    df = df.select("chr", "start", "end", "center", "experiment_insertions", "background_insertions", "reference_insertions", "fraction_experiment", "tph_experiment", "fraction_background", "tph_background", "tph_background_subtracted")
-    for kb in (1, 5, 10):
-        around = (F.col("center") - kb * 500, F.col("center") + kb * 500)
-        df = range_count(range_count(df, background, {f"_b{kb}": around}), sites, {f"_s{kb}": around})
-    df = totals(totals(df, exp, "_exp"), background, "_bg")
-    ratio = F.col("_exp") / F.greatest(F.col("_bg"), F.lit(1))
-    rates = [F.col("background_insertions") * ratio + pseudocounts, *[F.col(f"_b{kb}") * ratio * F.col("reference_insertions") / F.greatest(F.col(f"_s{kb}"), F.lit(1)) + pseudocounts for kb in (1, 5, 10)]]
-    best = F.greatest(*rates)
-    df = df.withColumns({"lambda_type": F.element_at(F.array(*map(F.lit, ("background", "1k", "5k", "10k"))), F.array_position(F.array(*rates), best).cast("int")), "lambda": best, "pvalue": stats.poisson_sf(F.col("experiment_insertions"), best)})
-    return df.where(F.col("pvalue") <= pvalue_cutoff).drop("_exp", "_bg", *[f"_{x}{kb}" for x in "bs" for kb in (1, 5, 10)])
+def with_center(df: DataFrame, exp: DataFrame, h: int) -> DataFrame:
+    """df with the median position of each interval's insertions, null where there are none. Positions carry their counts, so an interval brings no more rows than its width."""
+    held = range_join(df.select("chr", "start", "end").distinct(), positions(exp), F.col("start") - h, F.col("end"))
+    middle = held.groupBy("chr", "start", "end").agg(F.percentile(F.col("_point.start"), 0.5, F.col("_point.n")).alias("center"))
+    return df.join(middle, ["chr", "start", "end"], "left")
+
+
+def row_count(points: DataFrame) -> int:
+    return points.agg(F.count(F.lit(1))).first()[0]
+
+
+OLD_TPH = 100_000
+#: Name, and the reach below and above the centre, of the local rates.
+LOCAL_RATES = {"1k": (499, 500), "5k": (2499, 2500), "10k": (4999, 5000)}
+
+
+def call_windows_max_rate(exp: DataFrame, sites: DataFrame, background: DataFrame, reference: str = "mm10", pvalue_cutoff: float = 1e-4, window_size: int = 1500, step_size: int = 500, pseudocounts: float = 0.2) -> DataFrame:
+    """The older window caller: windows on a grid from 0 with two insertions or more are tested against the background; neighbouring significant ones make a peak.
+
+    A peak's rate for each site is the largest of its own and three local ones around its centre, libraries scaled by their genome-wide totals. Peaks keep the windows' bounds; their p is reported, no peak is
+    dropped for it. A chromosome's significant windows are sorted in one task: the grid holds at most its length over step_size of them, whatever the number of insertions.
+    """
+    if background is None:
+        raise ValueError("this caller needs a background")
+    h, whole, of = S.HALF_WIDTH[reference], row_count(exp), row_count(background)
+    windows = range_count(candidate_windows(exp, window_size, step_size, h, 2, 0), background, {"b": (F.col("start") - h, F.col("start") + window_size - 1)})
+    significant = windows.where(stats.cumulative_poisson(F.col("n"), F.col("b"), F.lit(whole), F.lit(of), pseudocounts) <= pvalue_cutoff)
+    run = F.col("k") - F.row_number().over(Window.partitionBy("chr").orderBy("k"))
+    df = significant.withColumn("_run", run).groupBy("chr", "_run").agg(F.min("start").alias("start"), (F.max("start") + window_size - 1).alias("end")).drop("_run")
+    near = (F.col("start") - h, F.col("end"))
+    df = with_center(range_count(df, exp, {"experiment_insertions": near}), exp, h)
+    around = {name: (F.col("center") - lo - h, F.col("center") + hi) for name, (lo, hi) in LOCAL_RATES.items()}
+    for points, name, prefix in ((background, "background_insertions", "_b"), (sites, "reference_insertions", "_s")):
+        df = range_count(df, points, {name: near} | {prefix + x: r for x, r in around.items()})
+    # The larger library is scaled down.
+    scale = whole / of if of >= whole else 1.0
+    held = F.greatest(F.col("reference_insertions"), F.lit(1))
+    rates = [F.col("background_insertions") * scale / held, *[F.col(f"_b{x}") * scale / F.greatest(F.col(f"_s{x}"), F.lit(1)) for x in LOCAL_RATES]]
+    names = F.array(*map(F.lit, ("bg", *LOCAL_RATES)))
+    df = df.withColumns({"lambda": F.greatest(*rates), "_rates": F.array(*rates)}).withColumn("lambda_type", F.get(names, (F.array_position("_rates", F.col("lambda")) - 1).cast("int")))
+    tested = F.col("experiment_insertions") * (1.0 if of >= whole else of / whole) + pseudocounts
+    columns = {"lambda_reference_insertions": F.col("lambda") * held}
+    for name, total in (("experiment", whole), ("background", of)):
+        n = F.col(f"{name}_insertions")
+        columns |= {f"fraction_{name}": F.try_divide(n, F.lit(total)), f"tph_{name}": F.try_divide(n * OLD_TPH, F.lit(total))}
+    df = df.withColumns(columns).withColumns({"tph_background_subtracted": F.col("tph_experiment") - F.col("tph_background"), "pvalue": stats.poisson_sf(tested, F.col("lambda_reference_insertions") + pseudocounts)})
+    return df.select("chr", "start", "end", "center", "experiment_insertions", "background_insertions", "reference_insertions", "fraction_experiment", "tph_experiment", "fraction_background", "tph_background", "tph_background_subtracted", "lambda_type", "lambda", "lambda_reference_insertions", "pvalue")
 
 
 def prior(p0: float, n: int, ncp_prior: float | None = None, gamma: float | None = None) -> float:
@@ -326,49 +358,120 @@ def with_ordinal(peaks: DataFrame) -> DataFrame:
     return peaks.withColumn("peak_ord", F.row_number().over(Window.orderBy(S.chromosome_key(F.col("chr")), "chr", "start", "end")) - 1)
 
 
-def retested(bounds: DataFrame, peaks: DataFrame, exp: DataFrame, sites: DataFrame, half_width: int, pseudocounts: float, lam_win_size: int | None) -> DataFrame:
-    """Counts, rate and p of new bounds; the adjusted p of the peak whose p is nearest."""
-    near = (F.col("start") - half_width, F.col("end"))
-    df = range_count(range_count(bounds.select("chr", "start", "end"), exp, {"experiment_insertions": near}), sites, {"reference_insertions": near})
-    df = totals(totals(df, exp, "_exp"), sites, "_sites")
-    scale = F.when(F.col("_sites") > 0, F.col("_exp") / F.col("_sites"))
-    if lam_win_size:
-        wide = (F.col("start") - lam_win_size / 2 + 1 - half_width, F.col("end") + lam_win_size / 2)
-        df = range_count(range_count(df, exp, {"_we": wide}), sites, {"_ws": wide})
-        scale = F.when(F.col("_ws") > 0, F.col("_we") / F.col("_ws"))
-    rate = F.col("reference_insertions") * scale + pseudocounts
-    df = df.withColumns({"expected_insertions": rate, "pvalue": stats.poisson_sf(F.col("experiment_insertions"), rate)})
+def edit_columns(method: str, background: bool) -> list[str]:
+    """Columns of an edited peak, as the callers name them."""
+    if method == "Blockify" or (method == "CCcaller" and not background):
+        return ["chr", "start", "end", "experiment_insertions", "reference_insertions", "expected_insertions", "pvalue", "pvalue_adj"]
+    if method == "CCcaller":
+        return ["chr", "start", "end", "experiment_insertions", "background_insertions", "reference_insertions", "expected_background", "expected_reference", "pvalue_background", "pvalue_reference", "pvalue_adj_reference"]
+    if method != "MACCs":
+        raise ValueError(f"peaks of {method} can't be edited; known: CCcaller, MACCs, Blockify")
+    if not background:
+        return ["chr", "start", "end", "center", "pvalue", "experiment_insertions", "reference_insertions", "fraction_experiment", "tph_experiment", "expected_insertions", "pvalue_adj"]
+    return ["chr", "start", "end", "center", "experiment_insertions", "background_insertions", "reference_insertions", "pvalue_reference", "pvalue_background", "fraction_experiment", "tph_experiment", "fraction_background", "tph_background", "tph_background_subtracted", "pvalue_adj_reference"]
+
+
+def retested(bounds: DataFrame, peaks: DataFrame, exp: DataFrame, sites: DataFrame, background: DataFrame | None = None, method: str = "CCcaller", reference: str = "mm10", test_method: str = "poisson", lam_win_size: int | None = 100_000, pseudocounts: float = 0.2) -> DataFrame:
+    """Counts, expectations and p of new bounds (chr, start, end), by the method that called the peaks; the adjusted p is that of the peak whose p is nearest.
+
+    A site counts by its end (its start and the site's width, where the table has no end). Totals are of a window of lam_win_size around the bounds, or of the chromosome (None, and always for blocks)."""
+    out = edit_columns(method, background is not None)
+    if test_method not in ("poisson", "binomial"):
+        raise ValueError(f"unknown test {test_method}")
+    h = S.EDIT_HALF_WIDTH[reference]
+    other = sites.select("chr", (F.col("end") if "end" in sites.columns else F.col("start") + h).alias("start"))
+    tables = {"reference": other if background is None or method != "Blockify" else background}
+    if background is not None and method != "Blockify":
+        tables["background"] = background
+    near, half = (F.col("start") - h, F.col("end")), (lam_win_size or 0) / 2
+    wide = (F.col("start") - h - half + 1, F.col("end") + half)
+    df = bounds.select("chr", "start", "end")
+    for name, points in ({"experiment": exp} | tables).items():
+        if lam_win_size and method != "Blockify":
+            df = range_count(df, points, {f"{name}_insertions": near, f"_{name}": wide})
+        else:
+            df = totals(range_count(df, points, {f"{name}_insertions": near}), points, f"_{name}")
+    n, whole = F.col("experiment_insertions"), F.col("_experiment")
+    for name in tables:
+        c, of = F.col(f"{name}_insertions"), F.col(f"_{name}")
+        p = stats.cumulative_poisson(n, c, whole, of, pseudocounts) if test_method == "poisson" else stats.binomial_sf(n + pseudocounts, whole, F.try_divide(c + pseudocounts, of))
+        df = df.withColumns({f"expected_{name}": F.try_divide(whole * c, of), f"pvalue_{name}": p})
+    if len(tables) == 1:
+        df = df.withColumnsRenamed({"expected_reference": "expected_insertions", "pvalue_reference": "pvalue"})
+    if method == "MACCs":
+        df = with_center(df, exp, h)
+        for name, points in (("experiment", exp), ("background", background)):
+            if points is not None:
+                share = F.try_divide(F.col(f"{name}_insertions"), F.lit(row_count(points)))
+                df = df.withColumns({f"fraction_{name}": share, f"tph_{name}": share * TPH})
+        if background is not None:
+            df = df.withColumn("tph_background_subtracted", F.col("tph_experiment") - F.col("tph_background"))
+    tested, adjusted = ("pvalue", "pvalue_adj") if len(tables) == 1 else ("pvalue_reference", "pvalue_adj_reference")
     # One or two edited peaks meet the peak table's (p, adjusted p): the few are sent, the table stays.
-    near_p = peaks.select(F.col("pvalue").alias("_p"), "pvalue_adj").join(F.broadcast(df.select("chr", "start", "pvalue")))
-    adj = near_p.groupBy("chr", "start").agg(F.min_by("pvalue_adj", F.struct(F.abs(F.col("_p") - F.col("pvalue")), F.col("_p"))).alias("pvalue_adj"))
-    return df.join(adj, ["chr", "start"]).select("chr", "start", "end", "experiment_insertions", "reference_insertions", "expected_insertions", "pvalue", "pvalue_adj")
+    met = peaks.select(F.col(tested).alias("_p"), F.col(adjusted).alias("_adj")).join(F.broadcast(df.select("chr", "start", F.col(tested).alias("_mine"))))
+    nearest = met.groupBy("chr", "start").agg(F.min_by("_adj", F.struct(F.abs(F.col("_p") - F.col("_mine")), F.col("_p"))).alias(adjusted))
+    return df.join(nearest, ["chr", "start"], "left").select(*out)
 
 
-def combine_peaks(peaks: DataFrame, index: int, exp: DataFrame, sites: DataFrame, half_width: int = 3, pseudocounts: float = 0.2, lam_win_size: int | None = None, pvalue_cutoff: float | None = None, return_whole: bool = False) -> DataFrame:
-    """Peaks index and index + 1 as one, counted and tested again."""
+def combine_peaks(peaks: DataFrame, index: int, exp: DataFrame, sites: DataFrame, background: DataFrame | None = None, method: str = "CCcaller", return_whole: bool = False, cutoffs: dict[str, float] | None = None, **options) -> DataFrame:
+    """Peaks index and index + 1 as one, counted and tested again by the method that called them. cutoffs: largest value by column of p; options: as of `retested`. Peaks without counts are joined only."""
     ranked = with_ordinal(peaks)
     two = ranked.where(F.col("peak_ord").isin(index, index + 1))
     seen = two.agg(F.count(F.lit(1)), F.countDistinct("chr")).first()
     if tuple(seen) != (2, 1):
         raise ValueError("there are no two such neighbours on one chromosome")
-    one = retested(two.groupBy("chr").agg(F.min("start").alias("start"), F.max("end").alias("end")), peaks, exp, sites, half_width, pseudocounts, lam_win_size)
-    return _edited(ranked, [index, index + 1], one, pvalue_cutoff, return_whole)
+    bounds = two.groupBy("chr").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return _edited(ranked, [index, index + 1], _tested(bounds, peaks, exp, sites, background, method, options), cutoffs, return_whole)
 
 
-def separate_peaks(peaks: DataFrame, index: int, middle_start: int, middle_end: int, exp: DataFrame, sites: DataFrame, half_width: int = 3, pseudocounts: float = 0.2, lam_win_size: int | None = None, pvalue_cutoff: float | None = None, return_whole: bool = False) -> DataFrame:
-    """Peak index as two: up to middle_start, and from middle_end."""
+def separate_peaks(peaks: DataFrame, index: int, middle_start: int, middle_end: int, exp: DataFrame, sites: DataFrame, background: DataFrame | None = None, method: str = "CCcaller", return_whole: bool = False, cutoffs: dict[str, float] | None = None, **options) -> DataFrame:
+    """Peak index as two: up to middle_start, and from middle_end. The rest as of `combine_peaks`; each half stays if it passes the cut-offs."""
     ranked = with_ordinal(peaks)
     halves = ranked.where(F.col("peak_ord") == index).select("chr", F.explode(F.array(F.struct("start", F.lit(middle_start).cast("long").alias("end")), F.struct(F.lit(middle_end).cast("long").alias("start"), "end"))).alias("h")).select("chr", "h.*")
-    return _edited(ranked, [index], retested(halves, peaks, exp, sites, half_width, pseudocounts, lam_win_size), pvalue_cutoff, return_whole)
+    return _edited(ranked, [index], _tested(halves, peaks, exp, sites, background, method, options), cutoffs, return_whole)
 
 
-def _edited(ranked: DataFrame, gone: list[int], new: DataFrame, cutoff: float | None, whole: bool) -> DataFrame:
-    new = new if cutoff is None else new.where(F.col("pvalue") <= cutoff)
+def _tested(bounds: DataFrame, peaks: DataFrame, exp: DataFrame, sites: DataFrame, background: DataFrame | None, method: str, options: dict) -> DataFrame:
+    return retested(bounds, peaks, exp, sites, background, method, **options) if len(peaks.columns) > 3 else bounds.select("chr", "start", "end")
+
+
+def _edited(ranked: DataFrame, gone: list[int], new: DataFrame, cutoffs: dict[str, float] | None, whole: bool) -> DataFrame:
+    for name, cutoff in (cutoffs or {}).items():
+        new = new.where(F.col(name) <= cutoff)
     return union_all([ranked.where(~F.col("peak_ord").isin(gone)).drop("peak_ord"), new]) if whole else new
 
 
-def down_sample(points: DataFrame, number: int, seed: int = 1) -> DataFrame:
-    """Exactly `number` rows (or all), uniformly by a seeded hash of the row; repeated rows are told apart by their place among equals."""
+COPIES = 65_536
+
+
+def down_sample(points: DataFrame, number: int = 10_000_000, seed: int = 1) -> DataFrame:
+    """Exactly `number` rows (or all), uniformly by a seeded hash of the row and its place among equal ones, sorted by chr and start.
+
+    Equal rows are counted before the shuffle and numbered in pieces of COPIES, so that a row that stands very often is spread over tasks. The cut is found from two histograms of the hash's
+    leading bits (65,536 buckets each); only the rows of the last bucket are put in order."""
     names = points.columns
-    numbered = points.withColumn("_copy", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))))
-    return numbered.orderBy(F.xxhash64(F.lit(seed), *names, "_copy"), *names, "_copy").limit(number).select(*names)
+    counted = points.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPIES).cast("bigint")))).repartition(*names, "_piece")
+    first = F.col("_piece") * COPIES
+    rows = pieces.withColumn("_copy", F.explode(F.sequence(first, F.least(first + COPIES, F.col("_n")) - 1)))
+    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), *names, "_copy")).select(*names, "_copy", "_hash")
+    chosen, inside, left = None, F.lit(True), number
+    for bits in (48, 32):
+        bucket = F.shiftrightunsigned("_hash", bits).bitwiseAND(F.lit(65_535))
+        sizes = sorted(map(tuple, rows.where(inside).groupBy(bucket.alias("b")).agg(F.count(F.lit(1))).collect()))
+        cut, below = None, 0
+        for b, n in sizes:
+            if below + n > left:
+                cut = b
+                break
+            below += n
+        full = inside if cut is None else inside & (bucket < cut)
+        chosen, left = full if chosen is None else chosen | full, left - below
+        if cut is None or not left:
+            inside = F.lit(False)
+            break
+        inside = inside & (bucket == cut)
+    rest = rows.where(inside).orderBy("_hash", *names, "_copy").limit(left)
+    order = [c for c in ("chr", "start") if c in names]
+    out = rows.where(chosen).unionByName(rest).select(*names)
+    return out.orderBy(*order) if order else out

@@ -85,11 +85,12 @@ def heatmap(m: CountMatrix, groupby: str, annotation: DataFrame, rna: DataFrame)
     return share.join(gene_pairs(annotation), "name").join(scaled, ["group", "gene"], "left").fillna(0.0, ["expression"]).select("group", "name", "share", "gene", "expression")
 
 
-def dotplot_bulk(values: DataFrame, annotation: DataFrame, rna: DataFrame, names: list[str]) -> DataFrame:
-    """sample, name, gene, dot: chosen peaks and their nearest measured genes, log2(x + 1) over its maximum of the row. values: sample, name, value; rna: sample, gene, value."""
-    genes = gene_pairs(annotation).where(F.col("name").isin(names)).join(rna, "gene").select("sample", "name", "gene", F.log2(F.col("value") + 1).alias("v"))
+def dotplot_bulk(values: DataFrame, annotation: DataFrame, rna: DataFrame, names: DataFrame | list[str]) -> DataFrame:
+    """sample, name, gene, dot: chosen peaks and their nearest measured genes, log2(x + 1) over its maximum of the row. values: sample, name, value; rna: sample, gene, value; names: a list, or a table with name."""
+    chosen = lambda df: df.where(F.col("name").isin(names)) if isinstance(names, list) else df.join(names.select("name"), "name", "left_semi")
+    genes = chosen(gene_pairs(annotation)).join(rna, "gene").select("sample", "name", "gene", F.log2(F.col("value") + 1).alias("v"))
     peaks = values.join(genes.select("name").distinct(), "name", "left_semi").select("sample", "name", F.lit("").alias("gene"), F.log2(F.col("value") + 1).alias("v"))
-    both = peaks.where(F.col("name").isin(names)).unionByName(genes)
+    both = peaks.unionByName(genes)
     return both.withColumn("dot", F.coalesce(F.try_divide("v", F.max("v").over(Window.partitionBy("name", "gene"))), F.lit(0.0))).drop("v")
 
 

@@ -262,9 +262,29 @@ def maccs_bg(t):
     return peaks.call_peaks(t.ins, t.sites, t.bg, method="MACCs", window_size=1000, step_size=500, lam_win_size=1_000_000, pseudocounts=0.1, pvalue_cutoff_bg=1e-1)
 
 
-@query()
+def local_sql(table: str, scaled: bool) -> str:
+    return ", ".join(f"{rc(table, f'p.center - {lo} - 3', f'p.center + {hi}')} AS {'b' if scaled else 's'}{x}" for x, (lo, hi) in peaks.LOCAL_RATES.items())
+
+
+RATES = ["b * sc / greatest(s, 1)", *(f"b{x} * sc / greatest(s{x}, 1)" for x in peaks.LOCAL_RATES)]
+
+
+@query(f""",
+pos AS (SELECT chr, start, count(*) AS n FROM ins GROUP BY chr, start), tt AS (SELECT (SELECT count(*) FROM ins) AS te, (SELECT count(*) FROM bg) AS tb),
+g AS (SELECT chr, n, unnest(generate_series(greatest(CAST(ceil((start - 1499) / 500.0) AS BIGINT), 0), CAST(floor((start + 3) / 500.0) AS BIGINT))) AS k FROM pos),
+w AS (SELECT chr, k, k * 500 AS start, sum(n) AS n FROM g GROUP BY chr, k HAVING sum(n) >= 2),
+c AS (SELECT p.*, {rc("bg", "p.start - 3", "p.start + 1499")} AS b, te, tb FROM w p CROSS JOIN tt),
+sg AS (SELECT * FROM c WHERE CASE WHEN tb >= te THEN {psf("n + 0.2", "b * (te * 1.0 / tb) + 0.2")} ELSE {psf("n * (tb * 1.0 / te) + 0.2", "b + 0.2")} END <= 0.0001),
+rn AS (SELECT *, k - row_number() OVER (PARTITION BY chr ORDER BY k) AS r FROM sg), mg AS (SELECT chr, min(start) AS start, max(start) + 1499 AS end_ FROM rn GROUP BY chr, r),
+md AS (SELECT m.chr, m.start, m.end_, count(*) AS n, median(i.start) AS center FROM mg m JOIN ins i ON i.chr = m.chr AND i.start >= m.start - 3 AND i.start <= m.end_ GROUP BY 1, 2, 3),
+q AS (SELECT p.*, {rc("bg", "p.start - 3", "p.end_")} AS b, {rc("sites", "p.start - 3", "p.end_")} AS s, {local_sql("bg", True)}, {local_sql("sites", False)}, te, tb, CASE WHEN tb >= te THEN te * 1.0 / tb ELSE 1.0 END AS sc FROM md p CROSS JOIN tt),
+l AS (SELECT *, greatest({", ".join(RATES)}) AS lam FROM q), v AS (SELECT *, lam * greatest(s, 1) AS held, CASE WHEN lam = {RATES[0]} THEN 'bg' WHEN lam = {RATES[1]} THEN '1k' WHEN lam = {RATES[2]} THEN '5k' ELSE '10k' END AS kind FROM l)
+SELECT chr, start, end_ AS "end", center, n AS experiment_insertions, b AS background_insertions, s AS reference_insertions, round(n * 1.0 / te, 6) AS fraction_experiment, round(n * 100000.0 / te, 6) AS tph_experiment, round(b * 1.0 / tb, 6) AS fraction_background,
+  round(b * 100000.0 / tb, 6) AS tph_background, round(n * 100000.0 / te - b * 100000.0 / tb, 6) AS tph_background_subtracted, kind AS lambda_type, round(lam, 6) AS "lambda", round(held, 6) AS lambda_reference_insertions,
+  round(CASE WHEN tb >= te THEN {psf("n + 0.2", "held + 0.2")} ELSE {psf("n * (tb * 1.0 / te) + 0.2", "held + 0.2")} END, 6) AS pvalue FROM v""")
 def maccs_max_rate(t):
-    return peaks.call_peaks(t.ins, t.sites, t.bg, method="MACCS_old")
+    found = peaks.call_peaks(t.ins, t.sites, t.bg, method="MACCS_old")
+    return rounded(found, "fraction_experiment", "tph_experiment", "fraction_background", "tph_background", "tph_background_subtracted", "lambda", "lambda_reference_insertions", "pvalue")
 
 
 @query()
@@ -277,25 +297,67 @@ def blockify(t):
     return peaks.call_peaks(t.ins, t.sites, method="Blockify", pvalue_cutoff=1e-4)
 
 
-EDIT = CHR + TESTED + fdr_sql("tr", "p", "adj", 0.0001) + ", res AS (SELECT *, row_number() OVER (ORDER BY CAST(substr(chr, 4) AS INT), chr, start, end_) - 1 AS o FROM result)"
+NUMBERED = ", res AS (SELECT *, row_number() OVER (ORDER BY CAST(substr(chr, 4) AS INT), chr, start, end_) - 1 AS o FROM result), se AS (SELECT chr, start + 4 AS start FROM sites)"
+EDIT = CHR + TESTED + fdr_sql("tr", "p", "adj", 0.0001) + NUMBERED
+EDIT_BG = CHR + BG + fdr_sql("tr", "p", "adj", 1.0) + NUMBERED
+TWO = "SELECT chr, min(start) AS start, max(end_) AS end_ FROM res WHERE o IN (1, 2) GROUP BY chr"
+HALVES = "SELECT chr, start, CAST(7000 AS BIGINT) AS end_ FROM res WHERE o = 1 UNION ALL SELECT chr, CAST(7050 AS BIGINT) AS start, end_ FROM res WHERE o = 1"
+
+
+def edit_sql(bounds: str, columns: str, blocks: bool = False) -> str:
+    """Edited bounds: counts (n, s, b), totals around them or of the chromosome (wn, ws, wb), expectations (xs, xb), tails (p, pb) and the nearest peak's adjusted p (adj)."""
+    of = {"n": "ins", "s": "bg" if blocks else "se", "b": "bg"}
+    counts = ", ".join(f"{rc(x, 'p.start - 4', 'p.end_')} AS {k}, " + (f"(SELECT count(*) FROM {x} x WHERE x.chr = p.chr)" if blocks else rc(x, "p.start - 4 - 50000 + 1", "p.end_ + 50000")) + f" AS w{k}" for k, x in of.items())
+    tail = lambda k: f"CASE WHEN greatest(w{k}, wn) = 0 THEN NULL WHEN w{k} >= wn THEN {psf('n + 0.2', f'{k} * (wn * 1.0 / w{k}) + 0.2')} ELSE {psf(f'n * (w{k} * 1.0 / wn) + 0.2', f'{k} + 0.2')} END"
+    return f""", bd AS ({bounds}), e1 AS (SELECT p.*, {counts} FROM bd p), e2 AS (SELECT *, wn * s * 1.0 / nullif(ws, 0) AS xs, wn * b * 1.0 / nullif(wb, 0) AS xb, {tail("s")} AS p, {tail("b")} AS pb FROM e1),
+e3 AS (SELECT e2.*, r.adj, row_number() OVER (PARTITION BY e2.start ORDER BY abs(r.p - e2.p), r.p) AS rk FROM e2 CROSS JOIN res r),
+md AS (SELECT d.start, median(i.start) AS center FROM bd d JOIN ins i ON i.chr = d.chr AND i.start >= d.start - 4 AND i.start <= d.end_ GROUP BY 1), tt AS (SELECT (SELECT count(*) FROM ins) AS te, (SELECT count(*) FROM bg) AS tb)
+SELECT e.chr, e.start, e.end_ AS "end", {columns}, round(adj, 6) AS pvalue_adj{"_reference" if "pvalue_reference" in columns else ""} FROM e3 e LEFT JOIN md ON md.start = e.start CROSS JOIN tt WHERE rk = 1"""
+
+
+ONE_TEST = "n AS experiment_insertions, s AS reference_insertions, round(xs, 6) AS expected_insertions, round(p, 6) AS pvalue"
+TWO_TESTS = "n AS experiment_insertions, b AS background_insertions, s AS reference_insertions, round(pb, 6) AS pvalue_background, round(p, 6) AS pvalue_reference"
+SHARES = "center, round(n * 1.0 / te, 6) AS fraction_experiment, round(n * 100000000.0 / te, 4) AS tph_experiment"
+EDIT_ROUNDED = ("expected_insertions", "expected_background", "expected_reference", "pvalue", "pvalue_adj", "pvalue_background", "pvalue_reference", "pvalue_adj_reference", "fraction_experiment", "fraction_background")
+
+
+def edited(df: DataFrame) -> DataFrame:
+    df = rounded(df, *[c for c in EDIT_ROUNDED if c in df.columns])
+    return rounded(df, *[c for c in df.columns if c.startswith("tph_")], digits=4)
 
 
-def edit_sql(bounds: str) -> str:
-    return f""", bd AS ({bounds}),
-e1 AS (SELECT p.*, {rc("ins", "p.start - 3", "p.end_")} AS n, {rc("sites", "p.start - 3", "p.end_")} AS rs, ne, ns FROM bd p JOIN ne ON ne.chr = p.chr JOIN ns ON ns.chr = p.chr),
-e2 AS (SELECT *, rs * (ne * 1.0 / ns) + 0.2 AS mu FROM e1), e3 AS (SELECT *, {psf("n", "mu")} AS p FROM e2),
-e4 AS (SELECT e3.*, r.adj, row_number() OVER (PARTITION BY e3.start ORDER BY abs(r.p - e3.p), r.p) AS k FROM e3 CROSS JOIN res r)
-SELECT chr, start, end_ AS "end", n AS experiment_insertions, rs AS reference_insertions, round(mu, 6) AS expected_insertions, round(p, 6) AS pvalue, round(adj, 6) AS pvalue_adj FROM e4 WHERE k = 1"""
+def called_with_background(t) -> DataFrame:
+    return peaks.call_islands(t.ins, t.sites, t.bg, pvalue_cutoff_bg=0.1, pvalue_cutoff_sites=0.001, pvalue_adj_cutoff=1.0)
 
 
-@query(INT_ISLANDS + EDIT + edit_sql("SELECT chr, min(start) AS start, max(end_) AS end_ FROM res WHERE o IN (1, 2) GROUP BY chr"))
+@query(INT_ISLANDS + EDIT + edit_sql(TWO, ONE_TEST))
 def combine_peaks(t):
-    return rounded(peaks.combine_peaks(peaks.call_peaks(t.ins, t.sites), 1, t.ins, t.sites), "expected_insertions", "pvalue", "pvalue_adj")
+    return edited(peaks.combine_peaks(peaks.call_peaks(t.ins, t.sites), 1, t.ins, t.sites))
+
+
+@query(INT_ISLANDS + EDIT_BG + edit_sql(TWO, TWO_TESTS + ", round(xb, 6) AS expected_background, round(xs, 6) AS expected_reference"))
+def combine_peaks_bg(t):
+    return edited(peaks.combine_peaks(called_with_background(t), 1, t.ins, t.sites, t.bg))
+
+
+@query(INT_ISLANDS + EDIT + edit_sql(TWO, f"{SHARES}, {ONE_TEST}"))
+def combine_peaks_maccs(t):
+    return edited(peaks.combine_peaks(peaks.call_peaks(t.ins, t.sites), 1, t.ins, t.sites, method="MACCs"))
+
+
+@query(INT_ISLANDS + EDIT_BG + edit_sql(TWO, f"{SHARES}, {TWO_TESTS}, round(b * 1.0 / tb, 6) AS fraction_background, round(b * 100000000.0 / tb, 4) AS tph_background, round(n * 100000000.0 / te - b * 100000000.0 / tb, 4) AS tph_background_subtracted"))
+def combine_peaks_maccs_bg(t):
+    return edited(peaks.combine_peaks(called_with_background(t), 1, t.ins, t.sites, t.bg, "MACCs"))
 
 
-@query(INT_ISLANDS + EDIT + edit_sql("SELECT chr, start, CAST(7000 AS BIGINT) AS end_ FROM res WHERE o = 1 UNION ALL SELECT chr, CAST(7050 AS BIGINT) AS start, end_ FROM res WHERE o = 1"))
+@query(INT_ISLANDS + EDIT + edit_sql(HALVES, ONE_TEST))
 def separate_peaks(t):
-    return rounded(peaks.separate_peaks(peaks.call_peaks(t.ins, t.sites), 1, 7000, 7050, t.ins, t.sites), "expected_insertions", "pvalue", "pvalue_adj")
+    return edited(peaks.separate_peaks(peaks.call_peaks(t.ins, t.sites), 1, 7000, 7050, t.ins, t.sites))
+
+
+@query(INT_ISLANDS + EDIT + edit_sql(HALVES, ONE_TEST, blocks=True))
+def separate_peaks_blocks_bg(t):
+    return edited(peaks.separate_peaks(peaks.call_peaks(t.ins, t.sites), 1, 7000, 7050, t.ins, t.sites, t.bg, "Blockify"))
 
 
 @query(INT_ISLANDS + CHR + TESTED + fdr_sql("tr", "p", "adj", 1.0) + '\nSELECT chr, start, end_ AS "end", round(p, 6) AS pvalue, round(adj, 6) AS pvalue_adj FROM result')
@@ -401,6 +463,20 @@ def rank_groups_by_sample(t):
     return ranked(t, by="sample", alternative="greater")
 
 
+LOG_TABLE = f"({lc('t1', '{i}')} + {lc('t2', '(n1 + n2 - {i})')} - {lc('(t1 + t2)', '(n1 + n2)')})"
+FISHER2 = f"list_sum(list_transform(list_filter(range(CAST(greatest(0, n1 + n2 - t2) AS BIGINT), CAST(least(n1 + n2, t1) AS BIGINT) + 1), lambda i: {LOG_TABLE.format(i='i')} <= {LOG_TABLE.format(i='n1')} + 1e-7), lambda i: exp({LOG_TABLE.format(i='i')})))"
+
+
+@query(M + rank_sql("sum(value)", HELD, FISHER2))
+def rank_groups_by_sample_two_sided(t):
+    return ranked(t, by="sample")
+
+
+@query(M + rank_sql("sum(value)", HELD, FISHER2).replace("cluster AS g", "barcode AS g"))
+def rank_groups_by_obs(t):
+    return rounded(matrix.rank_peak_groups(count_matrix_of(t), None, by="group"), "pvalue", "pvalue_adj", "logfoldchange")
+
+
 @query(M + rank_sql("count(*)", CELLS, FISHER, "WHERE rank <= 10"))
 def rank_groups_top_k(t):
     return ranked(t, n_peaks=10)
@@ -421,6 +497,15 @@ def diff_two_groups(t):
     return rounded(matrix.difference_of_groups(count_matrix_of(t), "cluster", "k0", "k1"), "pvalue")
 
 
+@query(M + f""",
+e AS (SELECT cluster AS g, var_id, sum(value) AS n FROM x JOIN obs ON barcode = obs_id GROUP BY 1, 2), h AS (SELECT g, sum(n) AS t FROM e GROUP BY 1), v AS (SELECT concat_ws('_', chr, start, end_) AS var_id FROM islands),
+d AS (SELECT v.var_id, CAST(coalesce(a.n, 0) AS DOUBLE) AS n1, CAST(coalesce(b.n, 0) AS DOUBLE) AS n2, CAST((SELECT t FROM h WHERE g = 'k0') AS DOUBLE) AS t1, CAST((SELECT t FROM h WHERE g = 'k1') AS DOUBLE) AS t2
+  FROM v LEFT JOIN e a ON a.g = 'k0' AND a.var_id = v.var_id LEFT JOIN e b ON b.g = 'k1' AND b.var_id = v.var_id)
+SELECT var_id AS name, CAST(n1 AS BIGINT) AS number, CAST(n2 AS BIGINT) AS number_rest, CAST(t1 AS BIGINT) AS total, CAST(t2 AS BIGINT) AS total_rest, round(least(1.0, {FISHER2}), 6) AS pvalue FROM d""")
+def diff_two_groups_by_sample(t):
+    return rounded(matrix.difference_of_groups(count_matrix_of(t), "cluster", "k0", "k1", by="sample", alternative="two-sided"), "pvalue")
+
+
 @query("""\n, r AS (SELECT grp, gene, pvalue, pvalue * count(*) OVER (PARTITION BY grp) / row_number() OVER (PARTITION BY grp ORDER BY pvalue) AS raw_ FROM rna)
 SELECT grp AS "group", gene, round(pvalue, 6) AS pvalue, round(least(1.0, min(raw_) OVER (PARTITION BY grp ORDER BY pvalue DESC)), 6) AS pvalue_adj FROM r""")
 def fdr_bh(t):
@@ -536,7 +621,7 @@ pk AS (SELECT cluster AS s, var_id AS name, '' AS gene, log2(sum(value) + 1) AS
 SELECT s AS sample, name, gene, round(coalesce(v / nullif(max(v) OVER (PARTITION BY name, gene), 0), 0), 6) AS dot FROM dots""")
 def dotplot_bulk(t):
     m = count_matrix_of(t)
-    names = [r.var_id for r in m.x.groupBy("var_id").agg(F.sum("value").alias("s")).where("s >= 30").collect()]
+    names = m.x.groupBy(F.col("var_id").alias("name")).agg(F.sum("value").alias("s")).where("s >= 30").select("name")
     values = m.x.join(m.obs, "obs_id").groupBy(F.col("cluster").alias("sample"), F.col("var_id").alias("name")).agg(F.sum("value").alias("value"))
     return rounded(views.dotplot_bulk(values, intervals.nearest_genes(peaks.islands(t.ins), t.genes), t.rna.select(F.col("group").alias("sample"), "gene", "value"), names), "dot")
 

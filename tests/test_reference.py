@@ -28,7 +28,7 @@ def tidy(v):
     return None if v is None else round(v, 6) + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["clean_qbed", "ccaller_nobg", "ccaller_bg", "range_count", "range_count_wide", "merge_intervals", "annotate_knn2", "signal_profile", "read_qbed", "read_reference_sites", "read_barcodes", "read_rna", "read_gwas", "read_motifs", "read_bedgraph", "combine_peaks", "count_matrix", "rank_groups_fisher", "gwas_traits", "liftover", "maccs_window_stats", "dotplot_sc", "event_sessions"])
+@pytest.mark.parametrize("name", ["clean_qbed", "ccaller_nobg", "ccaller_bg", "range_count", "range_count_wide", "merge_intervals", "annotate_knn2", "signal_profile", "read_qbed", "read_reference_sites", "read_barcodes", "read_rna", "read_gwas", "read_motifs", "read_bedgraph", "combine_peaks", "combine_peaks_bg", "combine_peaks_maccs_bg", "separate_peaks", "separate_peaks_blocks_bg", "maccs_max_rate", "count_matrix", "rank_groups_fisher", "rank_groups_by_sample_two_sided", "gwas_traits", "liftover", "maccs_window_stats", "dotplot_sc", "event_sessions"])
 def test_query_in_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -227,7 +227,12 @@ def test_files(spark, tmp_path):
 
 def test_down_sample(spark):
     df = points(spark, [1, 1, 1, 2, 3])
-    assert peaks.down_sample(df, 3).count() == 3 and peaks.down_sample(df, 99).count() == 5
+    assert peaks.down_sample(df, 3).count() == 3 and peaks.down_sample(df, 99).count() == 5 and peaks.down_sample(df, 0).count() == 0
+    hot = points(spark, [7] * 70_000 + list(range(100, 2100)))
+    got = [tuple(r) for r in peaks.down_sample(hot, 9_000).collect()]
+    assert got == sorted(got) and len(got) == 9_000 and len({p for _, p in got if p != 7}) == sum(p != 7 for _, p in got)
+    # A uniform sample: about 250 of the 2,000 rows that stand once.
+    assert 180 < sum(p != 7 for _, p in got) < 320
 
 
 def test_profile_and_area(spark):
