@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import range_join
-from .matrix import CountMatrix, peak_name
+from .matrix import CountMatrix, MultiModal, dense_rows, modality, peak_name
 
 
 def gene_pairs(annotation: DataFrame) -> DataFrame:
@@ -64,10 +64,22 @@ def gwas_matrix(m: CountMatrix, gwas: DataFrame, groupby: str | None = None, num
 
 
 def gwas_shares(matrix: DataFrame, sizes: DataFrame) -> DataFrame:
-    """value divided by the group's size (group, size), then by the trait's total."""
-    per = matrix.join(sizes, "group").withColumn("value", F.col("value") / F.col("size"))
-    whole = per.groupBy("trait").agg(F.sum("value").alias("total"))
-    return per.join(whole, "trait").select("trait", "group", (F.col("value") / F.col("total")).alias("share"), "total")
+    """trait, group, share, total: the value divided by the group's size (group, size), over the sum of these of the trait; total: the trait's undivided values."""
+    per = matrix.join(sizes, "group").withColumn("_v", F.col("value") / F.col("size"))
+    whole = per.groupBy("trait").agg(F.sum("_v").alias("_w"), F.sum("value").alias("total"))
+    return per.join(whole, "trait").select("trait", "group", (F.col("_v") / F.col("_w")).alias("share"), "total")
+
+
+def gwas_table(shares: DataFrame) -> DataFrame:
+    """trait, total, shares array<struct<column, value>>: one row a trait, those with the largest shares, group after group, first."""
+    totals = shares.select("trait", "total").distinct()
+    return dense_rows(shares, "trait", "group", "share").join(totals, "trait").select("trait", "total", F.col("cells").alias("shares")).orderBy(F.desc("shares"), "trait")
+
+
+def pair_peak_gene_mu(mm: MultiModal, ranking: DataFrame, annotation: DataFrame, expression: DataFrame, groupby: str, part: str = "CC", **options) -> DataFrame:
+    """pair_peak_gene in the groups of the shared attribute."""
+    groups = modality(mm, part).obs.select(F.col(f"`{groupby}`").alias("group")).distinct()
+    return pair_peak_gene(ranking.join(groups, "group", "left_semi"), annotation, expression, **options)
 
 
 def find_location(names: DataFrame, genes: DataFrame, column: str = "gene") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import schema as S
+
 BIN = 100_000
 
 
@@ -155,6 +157,12 @@ def _two(joined: DataFrame) -> DataFrame:
     return first.join(rest, ["chr", "start", "end"], "left").select("chr", "start", "end", F.array("_1", "_2").alias("_best"))
 
 
+def clean_qbed(qbed: DataFrame, chroms: list[str] | None = None, min_reads: int | None = None) -> DataFrame:
+    """Rows of the chromosomes (all known ones if none are named) with over min_reads reads; the filter reaches the scan."""
+    df = qbed.where(F.col("chr").isin(S.CHROMOSOMES if chroms is None else chroms))
+    return df if min_reads is None else df.where(F.col("reads") > min_reads)
+
+
 def combine_annotation(peaks: DataFrame, annotation: DataFrame) -> DataFrame:
     """peaks with the annotation's columns; both must have the same intervals."""
     keys = ["chr", "start", "end"]

@@ -29,6 +29,32 @@ class MultiModal:
     obs: DataFrame
 
 
+def modality(mm: MultiModal, part: str) -> CountMatrix:
+    """One matrix with the shared attributes; samples that the shared table lacks are left out."""
+    m = mm.parts[part]
+    obs = mm.obs.join(m.obs.select("obs_id"), "obs_id", "left_semi")
+    return replace(m, obs=obs, x=m.x.join(obs.select("obs_id"), "obs_id", "left_semi"))
+
+
+def insertions_by_group_mu(mm: MultiModal, groupby: str, method: str = "logAvginsertions", peak: str | None = None, part: str = "CC", of: str = "RNA") -> DataFrame:
+    """insertions_by_group over the shared attribute `of:groupby`; the method's name in any case."""
+    named = {n.lower(): n for n in ("suminsertions", "Avginsertions", "logsuminsertions", "logAvginsertions")}
+    return insertions_by_group(modality(mm, part), f"`{of}:{groupby}`", named.get(method.lower(), method), peak)
+
+
+def rank_peak_groups_mu(mm: MultiModal, groupby: str, part: str = "CC", rankby: str = "pvalues", **options) -> DataFrame:
+    """rank_peak_groups by a shared attribute, cells compared."""
+    return rank_peak_groups(modality(mm, part), f"`{groupby}`", by="cell", rankby=rankby, **options)
+
+
+def dense_rows(cells: DataFrame, key: str, column: str, value: str, columns: DataFrame | None = None) -> DataFrame:
+    """key, cells array<struct<column, value>>: one row of a matrix for each key, its columns (those of `columns`, else of the cells) in order, 0 where there is no cell."""
+    every = (cells if columns is None else columns).agg(F.array_sort(F.collect_set(column)).alias("_c"))
+    rows = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(column, F.col(value).cast("double")))).alias("_m"))
+    at = lambda c: F.struct(c.alias("column"), F.coalesce(F.element_at("_m", c), F.lit(0.0)).alias("value"))
+    return rows.crossJoin(F.broadcast(every)).select(key, F.transform("_c", at).alias("cells"))
+
+
 def peak_name(prefix: str = ""):
     return F.concat_ws("_", *[F.col(prefix + c) for c in ("chr", "start", "end")])
 
@@ -80,36 +106,37 @@ def with_group_insertions(obs: DataFrame, values: DataFrame, groupby: str, name:
     return obs.join(values.select(F.col("group").alias(groupby), F.col("value").alias(name)), groupby, "left")
 
 
-def group_totals(m: CountMatrix, groupby: str | None, count: str, total: str) -> DataFrame:
-    """group, var_id, number, number_rest, total, total_rest for every group and peak, in one pass: what is outside a group is the whole less the group.
+def group_totals(m: CountMatrix, groupby: str | None, count: str, total: str, reference: str | None = None) -> DataFrame:
+    """group, var_id, number, number_rest, total, total_rest for every group and peak, in one pass: what is outside a group is the whole less the group, or the reference group.
 
     count: sum or nnz of a peak's entries; total: cells of a group, or its insertions. groupby None: each sample is a group."""
     label = F.col("obs_id" if groupby is None else groupby)
     obs = m.obs.select("obs_id", label.alias("group"))
     entries = m.x.join(obs, "obs_id").groupBy("group", "var_id").agg((F.sum("value") if count == "sum" else F.count(F.when(F.col("value") != 0, 1))).alias("number"))
-    whole = entries.groupBy("var_id").agg(F.sum("number").alias("_all"))
+    whole = entries.groupBy("var_id").agg(F.sum("number").alias("_all")) if reference is None else entries.where(F.col("group") == reference).select("var_id", F.col("number").alias("_all"))
     if total == "cells":
         sizes = obs.groupBy("group").agg(F.count(F.lit(1)).alias("total"))
     else:
         held = m.x.join(obs, "obs_id").groupBy("group").agg(F.sum("value").alias("total"))
         sizes = obs.select("group").distinct().join(held, "group", "left").fillna(0, ["total"])
-    every = sizes.agg(F.sum("total").alias("_every"))
+    every = (sizes if reference is None else sizes.where(F.col("group") == reference)).agg(F.sum("total").alias("_every"))
     grid = sizes.join(F.broadcast(every)).join(m.var.select("var_id").join(whole, "var_id", "left").fillna(0, ["_all"]))
     df = grid.join(entries, ["group", "var_id"], "left").fillna(0, ["number"])
-    return df.select("group", "var_id", "number", (F.col("_all") - F.col("number")).alias("number_rest"), "total", (F.col("_every") - F.col("total")).alias("total_rest"))
+    own = lambda c: F.col(c) if reference is None else F.lit(0)
+    return df.select("group", "var_id", "number", (F.col("_all") - own("number")).alias("number_rest"), "total", (F.col("_every") - own("total")).alias("total_rest"))
 
 
 RANK_BY = {"pvalues": F.asc, "pvalues_adj": F.asc, "logfoldchanges": F.desc}
 COLUMN = {"pvalues": "pvalue", "pvalues_adj": "pvalue_adj", "logfoldchanges": "logfoldchange"}
 
 
-def rank_peak_groups(m: CountMatrix, groupby: str | None, by: str = "cell", method: str = "fisher_exact", alternative: str | None = None, groups: list[str] | str | None = None, n_peaks: int | None = None, rankby: str = "pvalues_adj") -> DataFrame:
-    """group, rank, name, pvalue, pvalue_adj, logfoldchange, number, number_rest, total, total_rest. by: cell, sample or group. Ties go by name."""
+def rank_peak_groups(m: CountMatrix, groupby: str | None, by: str = "cell", method: str = "fisher_exact", alternative: str | None = None, groups: list[str] | str | None = None, n_peaks: int | None = None, rankby: str = "pvalues_adj", reference: str | None = None) -> DataFrame:
+    """group, rank, name, pvalue, pvalue_adj, logfoldchange, number, number_rest, total, total_rest. by: cell, sample or group. Each group is compared with all others, or with the reference group. Ties go by name."""
     if by not in ("cell", "sample", "group") or rankby not in RANK_BY:
         raise ValueError(f"unknown by {by} or rankby {rankby}")
     alternative = alternative or ("greater" if by == "cell" else "two-sided")
     count = "sum" if by != "cell" or method == "binomtest" else "nnz"
-    df = group_totals(m, None if by == "group" else groupby, count, "cells" if by == "cell" else "insertions")
+    df = group_totals(m, None if by == "group" else groupby, count, "cells" if by == "cell" else "insertions", None if reference == "rest" else reference)
     if groups is not None and groups != "all":
         df = df.where(F.col("group").isin([groups] if isinstance(groups, str) else groups))
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)) + 1e-6

@@ -266,10 +266,14 @@ def prior(p0: float, n: int, ncp_prior: float | None = None, gamma: float | None
 
 
 def segment(x: np.ndarray, ncp: float, prune: bool = True) -> np.ndarray:
-    """Edges of the blocks of sorted positions (repeats allowed) with the best sum of N (ln N - ln T) - ncp. Without pruning: all splits; with it: only those that can still win."""
+    return segmented(x, ncp, prune)[0]
+
+
+def segmented(x: np.ndarray, ncp: float, prune: bool = True) -> tuple[np.ndarray, float]:
+    """Edges, and the sum, of the blocks of sorted positions (repeats allowed) with the best sum of N (ln N - ln T) - ncp. Without pruning: all splits; with it: only those that can still win."""
     t, counts = np.unique(np.asarray(x, float), return_counts=True)
     if len(t) < 2:
-        return np.array([t[0], t[0]]) if len(t) else np.zeros(0)
+        return (np.array([t[0], t[0]]) if len(t) else np.zeros(0)), math.nan
     edges = np.concatenate([t[:1], (t[1:] + t[:-1]) / 2, t[-1:]])
     cum = np.concatenate([[0], np.cumsum(counts)])
     best, last = np.zeros(len(t) + 1), np.zeros(len(t), int)
@@ -287,11 +291,11 @@ def segment(x: np.ndarray, ncp: float, prune: bool = True) -> np.ndarray:
     while r > 0:
         r = last[r - 1]
         cuts.append(r)
-    return edges[np.array(cuts[::-1])]
+    return edges[np.array(cuts[::-1])], float(best[-1])
 
 
-def blocks(points: DataFrame, p0: float = 0.05, ncp_prior: float | None = None, gamma: float | None = None, prune: bool = True) -> DataFrame:
-    """chr, start, end of change-point blocks, one grouped task a chromosome: the recursion over positions is sequential."""
+def segments(points: DataFrame, p0: float = 0.05, ncp_prior: float | None = None, gamma: float | None = None, prune: bool = True) -> DataFrame:
+    """chr, start, end of change-point blocks, with the chromosome's prior and fitness (null if it has one position), one grouped task a chromosome: the recursion over positions is sequential."""
     if not 0 <= p0 <= 1 or (ncp_prior is not None and ncp_prior < 0):
         raise ValueError("p0 must be in 0..1 and the prior not negative")
     end = F.col("end") if "end" in points.columns else F.col("start")
@@ -299,10 +303,22 @@ def blocks(points: DataFrame, p0: float = 0.05, ncp_prior: float | None = None,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf["at"].to_numpy())
-        e = np.floor(segment(x, prior(p0, len(x), ncp_prior, gamma), prune)).astype(int)
-        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "start": e[:-1], "end": e[1:]})
+        cost = prior(p0, len(x), ncp_prior, gamma)
+        edges, fitness = segmented(x, cost, prune)
+        e = np.floor(edges).astype(int)
+        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "start": e[:-1], "end": e[1:], "prior": cost, "fitness": fitness})
+
+    return at.groupBy("chr").applyInPandas(run, "chr string, start long, end long, prior double, fitness double")
+
+
+def blocks(points: DataFrame, p0: float = 0.05, ncp_prior: float | None = None, gamma: float | None = None, prune: bool = True) -> DataFrame:
+    return segments(points, p0, ncp_prior, gamma, prune).select("chr", "start", "end")
+
 
-    return at.groupBy("chr").applyInPandas(run, "chr string, start long, end long")
+def segmentation_summary(found: DataFrame) -> DataFrame:
+    """chr, prior, n_blocks, fitness of segments(), and a row without chr for the totals."""
+    one = found.groupBy("chr").agg(F.first("prior").alias("prior"), F.count(F.lit(1)).alias("n_blocks"), F.first("fitness").alias("fitness"))
+    return one.unionByName(one.agg(F.sum("prior").alias("prior"), F.sum("n_blocks").alias("n_blocks"), F.sum("fitness").alias("fitness")).withColumn("chr", F.lit(None).cast("string")))
 
 
 def block_counts(blocks_: DataFrame, points: DataFrame, name: str) -> DataFrame:

@@ -67,7 +67,7 @@ INT_ISLANDS = islands_sql()
 # --- sources, filters, unions ---------------------------------------------------------------------------------------
 @query("\nSELECT chr, start, reads, direction, barcode FROM ins WHERE chr IN ('chr1', 'chr2', 'chr7') AND reads > 2")
 def clean_qbed(t):
-    return t.ins.where(F.col("chr").isin("chr1", "chr2", "chr7") & (F.col("reads") > 2)).select("chr", "start", "reads", "direction", "barcode")
+    return intervals.clean_qbed(t.ins, ["chr1", "chr2", "chr7"], 2).select("chr", "start", "reads", "direction", "barcode")
 
 
 @query("\nSELECT chr, start, 'exp' AS source FROM ins UNION ALL SELECT chr, start, 'bg' FROM bg")
@@ -292,6 +292,11 @@ def blockify_block_counts(t):
     return peaks.block_counts(peaks.blocks(t.ins), t.ins, "n")
 
 
+@query()
+def segmentation_summary(t):
+    return rounded(peaks.segmentation_summary(peaks.segments(t.ins)), "prior", "fitness")
+
+
 @query()
 def blockify(t):
     return peaks.call_peaks(t.ins, t.sites, method="Blockify", pvalue_cutoff=1e-4)
@@ -477,6 +482,20 @@ def rank_groups_by_obs(t):
     return rounded(matrix.rank_peak_groups(count_matrix_of(t), None, by="group"), "pvalue", "pvalue_adj", "logfoldchange")
 
 
+AGAINST = {"a AS (SELECT var_id, sum(n1) AS s FROM e GROUP BY 1)": "a AS (SELECT var_id, n1 AS s FROM e WHERE g = 'k1')", "coalesce(a.s, 0) - coalesce(e.n1, 0)": "coalesce(a.s, 0)", "(SELECT sum(t) FROM z) - z.t": "(SELECT t FROM z WHERE g = 'k1')"}
+
+
+def against_k1(sql: str) -> str:
+    for a, b in AGAINST.items():
+        sql = sql.replace(a, b)
+    return sql
+
+
+@query(M + against_k1(rank_sql("count(*)", CELLS, FISHER)))
+def rank_groups_reference(t):
+    return ranked(t, reference="k1")
+
+
 @query(M + rank_sql("count(*)", CELLS, FISHER, "WHERE rank <= 10"))
 def rank_groups_top_k(t):
     return ranked(t, n_peaks=10)
@@ -557,12 +576,34 @@ def gwas_sample_matrix(t):
     return integrate.gwas_matrix(count_matrix_of(t), t.gwas).select("trait", "group", "value")
 
 
-@query(GWAS.format("cluster") + """, z AS (SELECT cluster, count(*) AS n FROM obs GROUP BY 1), y AS (SELECT c.trait, c.g, c.value * 1.0 / n AS v FROM cells c JOIN tot ON tot.trait = c.trait JOIN z ON z.cluster = c.g WHERE t > 100), w AS (SELECT trait, sum(v) AS total FROM y GROUP BY 1)
-SELECT y.trait, g AS "group", round(v / total, 6) AS share, round(total, 6) AS total FROM y JOIN w ON w.trait = y.trait""")
-def gwas_shares(t):
+SHARES_OF = ', z AS ({sizes}), y AS (SELECT c.trait, c.g, c.value, c.value * 1.0 / n AS v FROM cells c JOIN tot ON tot.trait = c.trait JOIN z ON z.g = c.g WHERE t > 100), w AS (SELECT trait, sum(v) AS w, sum(value) AS total FROM y GROUP BY 1)'
+CLUSTER_SIZES, SAMPLE_SIZES = "SELECT cluster AS g, count(*) AS n FROM obs GROUP BY 1", "SELECT obs_id AS g, sum(value) AS n FROM x GROUP BY 1"
+SHARED = '\nSELECT y.trait, y.g AS "group", round(v / w, 6) AS share, CAST(total AS BIGINT) AS total FROM y JOIN w ON w.trait = y.trait'
+
+
+def cluster_shares(t) -> DataFrame:
     m = count_matrix_of(t)
     sizes = m.obs.groupBy(F.col("cluster").alias("group")).agg(F.count(F.lit(1)).alias("size"))
-    return rounded(integrate.gwas_shares(integrate.gwas_matrix(m, t.gwas, "cluster"), sizes), "share", "total")
+    return integrate.gwas_shares(integrate.gwas_matrix(m, t.gwas, "cluster"), sizes)
+
+
+@query(GWAS.format("cluster") + SHARES_OF.format(sizes=CLUSTER_SIZES) + SHARED)
+def gwas_shares(t):
+    return rounded(cluster_shares(t), "share")
+
+
+@query(GWAS.format("obs_id") + SHARES_OF.format(sizes=SAMPLE_SIZES) + SHARED)
+def gwas_sample_shares(t):
+    m = count_matrix_of(t)
+    sizes = m.x.groupBy(F.col("obs_id").alias("group")).agg(F.sum("value").alias("size"))
+    return rounded(integrate.gwas_shares(integrate.gwas_matrix(m, t.gwas), sizes), "share")
+
+
+@query(GWAS.format("cluster") + SHARES_OF.format(sizes=CLUSTER_SIZES) + """
+SELECT w.trait, q.g AS "group", round(coalesce(v / w, 0), 6) AS share, CAST(total AS BIGINT) AS total FROM w CROSS JOIN (SELECT DISTINCT g FROM y) q LEFT JOIN y ON y.trait = w.trait AND y.g = q.g""")
+def gwas_table(t):
+    table = integrate.gwas_table(cluster_shares(t)).select("trait", "total", F.explode("shares").alias("s"))
+    return rounded(table.select("trait", F.col("s.column").alias("group"), F.col("s.value").alias("share"), "total"), "share")
 
 
 @query("""\n, g AS (SELECT upper(gene) AS g, count(DISTINCT chr) AS n, min(chr) AS c, min(start) AS s, max(end_) AS e FROM genes GROUP BY 1)
@@ -608,22 +649,67 @@ def volcano_classes(t):
     return rounded(views.volcano_classes(matrix.rank_peak_groups(count_matrix_of(t), "cluster"), None, 0.5, 0.5), "x", "y")
 
 
-@query(M + PAIR + """,
-s AS (SELECT cluster AS g, var_id, sum(value) AS v FROM x JOIN obs ON barcode = obs_id GROUP BY 1, 2), w AS (SELECT g, sum(v) AS w FROM s GROUP BY 1), e AS (SELECT grp, gene, ln(max(value) + 1) AS e FROM rna GROUP BY 1, 2), tp AS (SELECT gene, max(e) AS t FROM e GROUP BY 1 HAVING max(e) > 0)
-SELECT s.g AS "group", s.var_id AS name, round(v * 1.0 / w, 6) AS share, near.gene, round(coalesce(e.e / tp.t, 0), 6) AS expression FROM s JOIN w ON w.g = s.g JOIN near ON near.name = s.var_id LEFT JOIN e ON e.grp = s.g AND e.gene = near.gene LEFT JOIN tp ON tp.gene = near.gene""")
+def bulk_rna(t) -> DataFrame:
+    return t.rna.select(F.col("group").alias("sample"), "gene", "value")
+
+
+@query(M + KNN + """,
+s AS (SELECT cluster AS g, var_id, sum(value) AS v FROM x JOIN obs ON barcode = obs_id GROUP BY 1, 2), w AS (SELECT var_id, sum(v) AS w FROM s GROUP BY 1), tp AS (SELECT gene, max(ln(value + 1)) AS t FROM rna GROUP BY 1),
+h AS (SELECT w.var_id AS name, w.w, gene1, gene2, t1.t AS t1, t2.t AS t2 FROM w JOIN ann ON concat_ws('_', ann.chr, ann.start, ann.end_) = w.var_id LEFT JOIN tp t1 ON t1.gene = gene1 LEFT JOIN tp t2 ON t2.gene = gene2 WHERE coalesce(t1.t, 0) > 0 OR coalesce(t2.t, 0) > 0),
+cs AS (SELECT DISTINCT cluster AS g FROM obs), rs AS (SELECT DISTINCT grp AS g FROM rna)
+SELECT name, 'peak' AS panel, cs.g AS "column", round(coalesce(s.v, 0) * 1.0 / w, 6) AS value FROM h CROSS JOIN cs LEFT JOIN s ON s.g = cs.g AND s.var_id = name
+UNION ALL SELECT name, 'gene1', rs.g, round(coalesce(ln(r.value + 1) / t1, 0), 6) FROM h CROSS JOIN rs LEFT JOIN rna r ON r.grp = rs.g AND r.gene = gene1
+UNION ALL SELECT name, 'gene2', rs.g, round(coalesce(ln(r.value + 1) / t2, 0), 6) FROM h CROSS JOIN rs LEFT JOIN rna r ON r.grp = rs.g AND r.gene = gene2""")
 def heatmap_matrix(t):
-    return rounded(views.heatmap(count_matrix_of(t), "cluster", intervals.nearest_genes(peaks.islands(t.ins), t.genes), t.rna.select("group", "gene", "value")), "share", "expression")
+    wide = views.heatmap(count_matrix_of(t), "cluster", intervals.nearest_genes(peaks.islands(t.ins), t.genes), bulk_rna(t))
+    panel = lambda column, name: F.transform(column, lambda c: F.struct(F.lit(name).alias("panel"), c["column"].alias("column"), c["value"].alias("value")))
+    cells = F.explode(F.concat(panel("shares", "peak"), panel("expression1", "gene1"), panel("expression2", "gene2")))
+    return rounded(wide.select("name", cells.alias("c")).select("name", "c.panel", "c.column", "c.value"), "value")
 
 
-@query(M + PAIR + """,
-chosen AS (SELECT var_id FROM x GROUP BY 1 HAVING sum(value) >= 30), gn AS (SELECT r.grp AS s, near.name, near.gene, log2(r.value + 1) AS v FROM near JOIN rna r ON r.gene = near.gene WHERE near.name IN (SELECT var_id FROM chosen)),
-pk AS (SELECT cluster AS s, var_id AS name, '' AS gene, log2(sum(value) + 1) AS v FROM x JOIN obs ON barcode = obs_id WHERE var_id IN (SELECT name FROM gn) GROUP BY 1, 2), dots AS (SELECT * FROM gn UNION ALL SELECT * FROM pk)
-SELECT s AS sample, name, gene, round(coalesce(v / nullif(max(v) OVER (PARTITION BY name, gene), 0), 0), 6) AS dot FROM dots""")
-def dotplot_bulk(t):
+@query(M + ", s AS (SELECT obs_id, sum(value) AS t FROM x GROUP BY 1), l AS (SELECT x.obs_id, var_id, log2(value * 1.0 / t + 1) AS v FROM x JOIN s ON s.obs_id = x.obs_id) SELECT obs_id, var_id AS name, round(v / sum(v) OVER (PARTITION BY var_id), 6) AS value FROM l")
+def heatmap_cc(t):
+    return rounded(views.heatmap_cc(count_matrix_of(t), normalize_cc=True), "value")
+
+
+def dots_sql(group: str = "{0}", whole: bool = False) -> str:
+    """group: the name of a sample's group; whole: the peaks' values have one row for each group."""
+    return f""",
+chosen AS (SELECT var_id FROM x GROUP BY 1 HAVING sum(value) >= 30), gp AS (SELECT concat_ws('_', chr, start, end_) AS name, unnest([{{'panel': 'gene1', 'gene': gene1}}, {{'panel': 'gene2', 'gene': gene2}}]) AS s FROM ann), has AS (SELECT DISTINCT name FROM gp WHERE s.gene IN (SELECT gene FROM rna) AND name IN (SELECT var_id FROM chosen)),
+rw AS (SELECT name, s.panel AS panel, s.gene AS gene FROM gp WHERE name IN (SELECT name FROM has)), cm AS (SELECT DISTINCT cluster AS s, {group.format("cluster")} AS g FROM obs), rm AS (SELECT DISTINCT grp AS s, {group.format("grp")} AS g FROM rna), cz AS (SELECT g, {"1" if whole else "count(*)"} AS n FROM cm GROUP BY g), rz AS (SELECT g, count(*) AS n FROM rm GROUP BY g),
+pv AS (SELECT m.g, var_id, sum(value) AS v FROM x JOIN obs ON barcode = obs_id JOIN cm m ON m.s = cluster GROUP BY 1, 2), gv AS (SELECT m.g, gene, sum(log2(value + 1)) AS v FROM rna JOIN rm m ON m.s = grp GROUP BY 1, 2),
+dots AS (SELECT cz.g, has.name, 'peak' AS panel, '' AS gene, log2(coalesce(pv.v, 0) * 1.0 / n + 1) AS v FROM has CROSS JOIN cz LEFT JOIN pv ON pv.g = cz.g AND pv.var_id = has.name UNION ALL SELECT rz.g, rw.name, panel, rw.gene, coalesce(gv.v, 0) / n FROM rw CROSS JOIN rz LEFT JOIN gv ON gv.g = rz.g AND gv.gene = rw.gene)
+SELECT g AS "group", name, panel, gene, round(coalesce(v / nullif(max(v) OVER (PARTITION BY panel), 0), 0), 6) AS dot FROM dots"""
+
+
+PARITY = "concat('g', CAST(CAST(substr({0}, 2) AS INT) % 2 AS STRING))"
+
+
+def bulk_dots(t, by: str, **groups) -> DataFrame:
     m = count_matrix_of(t)
     names = m.x.groupBy(F.col("var_id").alias("name")).agg(F.sum("value").alias("s")).where("s >= 30").select("name")
-    values = m.x.join(m.obs, "obs_id").groupBy(F.col("cluster").alias("sample"), F.col("var_id").alias("name")).agg(F.sum("value").alias("value"))
-    return rounded(views.dotplot_bulk(values, intervals.nearest_genes(peaks.islands(t.ins), t.genes), t.rna.select(F.col("group").alias("sample"), "gene", "value"), names), "dot")
+    values = m.x.join(m.obs, "obs_id").groupBy(F.expr(by).alias("sample"), F.col("var_id").alias("name")).agg(F.sum("value").alias("value"))
+    return rounded(views.dotplot_bulk(values, intervals.nearest_genes(peaks.islands(t.ins), t.genes), bulk_rna(t), names, **groups), "dot")
+
+
+def parities(samples: DataFrame) -> DataFrame:
+    """sample, group: the samples, by their number's parity."""
+    return samples.toDF("sample").distinct().withColumn("group", F.expr(PARITY.format("sample")))
+
+
+@query(M + KNN + dots_sql())
+def dotplot_bulk(t):
+    return bulk_dots(t, "cluster")
+
+
+@query(M + KNN + dots_sql(PARITY))
+def dotplot_bulk_replicates(t):
+    return bulk_dots(t, "cluster", value_groups=parities(t.obs.select("cluster")), rna_groups=parities(t.rna.select("group")))
+
+
+@query(M + KNN + dots_sql(PARITY, whole=True))
+def dotplot_bulk_groups(t):
+    return bulk_dots(t, PARITY.format("cluster"), rna_groups=parities(t.rna.select("group")))
 
 
 @query(M + """,
@@ -657,9 +743,73 @@ def signal_profile(t):
     return rounded(views.signal_profile(views.signal_matrix(peaks.islands(t.ins), t.signal, nbins=10)), "mean", "low", "high")
 
 
-@query("\nSELECT chr, start, reads, round(ln(reads + 1), 6) AS height FROM ins WHERE chr = 'chr3' AND end_ >= 500000 AND start <= 900000")
+def area_sql(where: str = "TRUE") -> str:
+    """The insertions, their density, peaks and genes of an area."""
+    return f""", held AS (SELECT * FROM ins WHERE chr = 'chr3' AND end_ >= 500000 AND start <= 900000 AND {where})
+SELECT 'insertions' AS panel, start AS at, round(ln(reads + 1), 6) AS height FROM held
+UNION ALL SELECT 'density', CAST(floor((start - 500000) / 8000) AS BIGINT), CAST(count(*) AS DOUBLE) FROM held WHERE start >= 500000 AND start < 900000 GROUP BY 2
+UNION ALL SELECT 'peaks', start, CAST(end_ AS DOUBLE) FROM islands WHERE chr = 'chr3' AND end_ >= 500000 AND start <= 900000
+UNION ALL SELECT 'genes', start, CAST(end_ AS DOUBLE) FROM genes WHERE chr = 'chr3' AND end_ >= 500000 AND start <= 900000"""
+
+
+HEIGHTS = {"insertions": ("start", "height"), "density": ("bin", "n"), "peaks": ("start", "end"), "genes": ("start", "end"), "background": ("start", "end"), "background_density": ("bin", "height")}
+
+
+def area_rows(parts: dict[str, DataFrame]) -> DataFrame:
+    one = lambda k: parts[k].select(F.lit(k).alias("panel"), F.col(HEIGHTS[k][0]).cast("long").alias("at"), F.round(F.col(HEIGHTS[k][1]).cast("double"), 6).alias("height"))
+    return intervals.union_all([one(k) for k in parts])
+
+
+@query(INT_ISLANDS + area_sql() + """
+UNION ALL SELECT 'background', start, CAST(start + 4 AS DOUBLE) FROM bg WHERE chr = 'chr3' AND start >= 500000 AND start + 4 <= 900000
+UNION ALL SELECT 'background_density', CAST(floor((start - 500000) / 8000) AS BIGINT), round(ln(count(*) + 1), 6) FROM bg WHERE chr = 'chr3' AND start >= 500000 AND start + 4 <= 900000 GROUP BY 2""")
 def draw_area(t):
-    return rounded(views.draw_area(peaks.islands(t.ins), t.ins, t.genes, "chr3", 500000, 900000)["insertions"].select("chr", "start", "reads", "height"), "height")
+    background = t.bg.withColumn("end", F.col("start") + 4)
+    return area_rows(views.draw_area(peaks.islands(t.ins), t.ins, t.genes, "chr3", 500000, 900000, background=background))
+
+
+# --- several modalities -----------------------------------------------------------------------------------------------------
+def two_modalities(t) -> matrix.MultiModal:
+    """Insertions, and invented expression, over shared samples."""
+    cc = count_matrix_of(t)
+    x = t.ins.groupBy(F.col("barcode").alias("obs_id"), F.expr("concat('GENE', CAST(start % 300 AS STRING))").alias("var_id")).agg(F.sum("reads").alias("value"))
+    rna = matrix.CountMatrix(x, cc.obs.select("obs_id"), x.select("var_id").distinct())
+    return matrix.MultiModal({"CC": cc, "RNA": rna}, cc.obs.select("obs_id", F.col("cluster").alias("RNA:cluster")))
+
+
+@query(M + rank_sql("count(*)", CELLS, FISHER).replace("ORDER BY round(adj, 9)", "ORDER BY round(p, 9)"))
+def rank_groups_mu(t):
+    return rounded(matrix.rank_peak_groups_mu(two_modalities(t), "RNA:cluster"), "pvalue", "pvalue_adj", "logfoldchange")
+
+
+@query(INSERTIONS.format("log2(coalesce(s, 0) * 1.0 / n + 1)"))
+def insertions_per_group_mu(t):
+    return rounded(matrix.insertions_by_group_mu(two_modalities(t), "cluster", "logavginsertions"), "value")
+
+
+@query(SQL["pair_genes_sc"].removeprefix(f"WITH {CTES}"))
+def pair_genes_mu(t):
+    mm = two_modalities(t)
+    found = integrate.pair_peak_gene_mu(mm, matrix.rank_peak_groups_mu(mm, "RNA:cluster"), intervals.nearest_genes(peaks.islands(t.ins), t.genes), t.rna, "RNA:cluster",
+                                        pvalue_cutoff_cc=0.3, pvalue_adj_cutoff_cc=None, pvalue_cutoff_rna=0.04, pvalue_adj_cutoff_rna=0.5, lfc_cutoff=0.2, score_cutoff=3, distance_cutoff=200000)
+    return rounded(found.select("group", "name", "gene", "distance", "logfoldchange_cc", "pvalue_cc", "score_rna", "pvalue_rna"), "logfoldchange_cc", "pvalue_cc")
+
+
+@query(M + PAIR + """,
+rx AS (SELECT barcode AS obs_id, concat('GENE', CAST(start % 300 AS STRING)) AS var_id, sum(reads) AS value FROM ins GROUP BY 1, 2), pr AS (SELECT name, gene FROM near WHERE gene IN (SELECT var_id FROM rx)),
+z AS (SELECT cluster AS g, count(*) AS n FROM obs GROUP BY 1), s AS (SELECT 'peak' AS kind, cluster AS g, var_id, sum(value) AS s FROM x JOIN obs ON barcode = obs_id GROUP BY 1, 2, 3 UNION ALL SELECT 'gene', cluster, var_id, sum(value) FROM rx JOIN obs ON barcode = obs_id GROUP BY 1, 2, 3),
+f AS (SELECT DISTINCT 'peak' AS kind, name FROM pr UNION ALL SELECT DISTINCT 'gene', gene FROM pr),
+v AS (SELECT z.g, f.kind, f.name, CASE WHEN f.kind = 'peak' THEN log2(coalesce(s.s, 0) * 1.0 / n + 1) ELSE coalesce(s.s, 0) * 1.0 / n END AS v FROM f CROSS JOIN z LEFT JOIN s ON s.kind = f.kind AND s.g = z.g AND s.var_id = f.name)
+SELECT g AS "group", name, round(coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0), 6) AS dot, kind FROM v WINDOW w AS (PARTITION BY kind, name)""")
+def dotplot_sc_mu(t):
+    mm = two_modalities(t)
+    pairs = integrate.gene_pairs(intervals.nearest_genes(peaks.islands(t.ins), t.genes)).join(mm.parts["RNA"].var.select(F.col("var_id").alias("gene")), "gene", "left_semi")
+    return rounded(views.dotplot_sc_mu(mm, "RNA:cluster", pairs.select("name", "gene")), "dot")
+
+
+@query(INT_ISLANDS + area_sql("barcode IN (SELECT barcode FROM obs WHERE cluster = 'k1')"))
+def draw_area_mu(t):
+    return area_rows(views.draw_area_mu(two_modalities(t), peaks.islands(t.ins), t.ins, t.genes, "chr3", 500000, 900000, "RNA:cluster", "k1"))
 
 
 # --- time ---------------------------------------------------------------------------------------------------------------

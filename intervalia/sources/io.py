@@ -99,5 +99,30 @@ class ReferenceCatalog:
         return self.spark.read.parquet(t) if isinstance(t, str) else t
 
 
+# The example data sets and their parts.
+DATASETS = {
+    "mousecortex": ["qbed", "barcodes", "RNA", "CC", "Mudata"],
+    "SP1_K562HCT116": ["HCT116_brd4_qbed", "K562_brd4_qbed", "HCT116_SP1_qbed", "K562_SP1_qbed", "barcodes"],
+    "mouse_brd4": ["Female_Brd4", "Male_Brd4", "RNA", "CC", "Female_Brd4_rep1", "Female_Brd4_rep2", "Male_Brd4_rep1", "Male_Brd4_rep2"],
+    "SP1_Cre": ["SP1_P10", "SP1_P28", "background"],
+}
+
+
 class DatasetRegistry(ReferenceCatalog):
-    """Example data sets by (name, part), as local paths; nothing is downloaded."""
+    """Example data sets by (name, part) under one folder that holds name/part; nothing is downloaded. Barcodes and RNA are CSV files, matrices Parquet tables, all else qbed files."""
+
+    def __init__(self, spark: SparkSession, folder: str, tables: dict[tuple[str, str], str | DataFrame] | None = None):
+        super().__init__(spark, tables or {})
+        self.folder = folder.rstrip("/")
+
+    def get(self, kind: str, genome: str) -> DataFrame:
+        if (kind, genome) in self.tables:
+            return super().get(kind, genome)
+        if genome not in DATASETS.get(kind, []):
+            raise ValueError(f"no part {genome} of {kind}; known: {DATASETS}")
+        path = f"{self.folder}/{kind}/{genome}"
+        if genome == "barcodes":
+            return read_barcodes(self.spark, path, ",")
+        if genome == "RNA" and kind != "mousecortex":
+            return read_rna(self.spark, path)
+        return self.spark.read.parquet(path) if genome in ("RNA", "CC", "Mudata") else read_qbed(self.spark, path)

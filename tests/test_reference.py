@@ -28,7 +28,7 @@ def tidy(v):
     return None if v is None else round(v, 6) + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["clean_qbed", "ccaller_nobg", "ccaller_bg", "range_count", "range_count_wide", "merge_intervals", "annotate_knn2", "signal_profile", "read_qbed", "read_reference_sites", "read_barcodes", "read_rna", "read_gwas", "read_motifs", "read_bedgraph", "combine_peaks", "combine_peaks_bg", "combine_peaks_maccs_bg", "separate_peaks", "separate_peaks_blocks_bg", "maccs_max_rate", "count_matrix", "rank_groups_fisher", "rank_groups_by_sample_two_sided", "gwas_traits", "liftover", "maccs_window_stats", "dotplot_sc", "event_sessions"])
+@pytest.mark.parametrize("name", ["clean_qbed", "ccaller_nobg", "ccaller_bg", "range_count", "range_count_wide", "merge_intervals", "annotate_knn2", "signal_profile", "read_qbed", "read_reference_sites", "read_barcodes", "read_rna", "read_gwas", "read_motifs", "read_bedgraph", "combine_peaks", "combine_peaks_bg", "combine_peaks_maccs_bg", "separate_peaks", "separate_peaks_blocks_bg", "maccs_max_rate", "count_matrix", "rank_groups_fisher", "rank_groups_by_sample_two_sided", "gwas_traits", "liftover", "maccs_window_stats", "dotplot_sc", "gwas_table", "gwas_sample_shares", "heatmap_matrix", "heatmap_cc", "dotplot_bulk", "dotplot_bulk_replicates", "dotplot_bulk_groups", "draw_area", "rank_groups_mu", "rank_groups_reference", "insertions_per_group_mu", "pair_genes_mu", "dotplot_sc_mu", "draw_area_mu", "event_sessions"])
 def test_query_in_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -273,3 +273,46 @@ def test_nearest_genes_by_hand(spark, seed):
         want = sorted(far, key=lambda x: (abs(x[0]), x[1]))
         for k in (1, 2, 5):
             assert index.nearest(a, b, k) == want[:k]
+
+
+def test_heatmap_order_and_first_rows(spark):
+    obs = spark.createDataFrame([("a", "g1"), ("b", "g2")], "obs_id string, cluster string")
+    x = spark.createDataFrame([("a", "p_1_2", 3), ("b", "p_1_2", 1), ("b", "p_5_6", 2), ("a", "p_8_9", 1)], "obs_id string, var_id string, value long")
+    m = matrix.CountMatrix(x, obs, x.select("var_id").distinct())
+    near = spark.createDataFrame([("p", 1, 2, "A", "B"), ("p", 5, 6, "A", None), ("p", 8, 9, "C", "D")], "chr string, start long, end long, gene1 string, gene2 string")
+    rna = spark.createDataFrame([("s1", "A", 4.0, 2), ("s1", "A", 1.0, 1), ("s2", "A", 3.0, 1), ("s1", "C", 0.0, 1)], "sample string, gene string, value double, place int")
+    rows = views.heatmap(m, "cluster", near, rna, log=False, first_by="place").collect()
+    # The third peak's genes are 0 or not measured; the order is by the first group's share.
+    assert [r.name for r in rows] == ["p_5_6", "p_1_2"]
+    assert [[c.value for c in r.shares] for r in rows] == [[0.0, 1.0], [0.75, 0.25]]
+    assert [[c.value for c in r.expression1] for r in rows] == [[1 / 3, 1.0]] * 2 and [[c.value for c in r.expression2] for r in rows] == [[0.0, 0.0]] * 2
+
+
+def test_gwas_table_order(spark):
+    shares = spark.createDataFrame([("t1", "a", 0.25, 4), ("t1", "b", 0.75, 4), ("t2", "a", 1.0, 7), ("t3", "b", 1.0, 5)], "trait string, group string, share double, total long")
+    rows = integrate.gwas_table(shares).collect()
+    assert [(r.trait, r.total, [c.value for c in r.shares]) for r in rows] == [("t2", 7, [1.0, 0.0]), ("t1", 4, [0.25, 0.75]), ("t3", 5, [0.0, 1.0])]
+
+
+def test_segmentation_summary(spark):
+    rnd = random.Random(4)
+    places = sorted(rnd.randrange(3000) for _ in range(40)) + sorted(rnd.randrange(5000, 5200) for _ in range(60))
+    rows = {r.chr: r for r in peaks.segmentation_summary(peaks.segments(points(spark, places), ncp_prior=2.0)).collect()}
+    t, n = np.unique(places, return_counts=True)
+    edges = [float(t[0]), *((t[1:] + t[:-1]) / 2), float(t[-1])]
+    cum = [0, *np.cumsum(n)]
+    best = [(0.0, 0)]
+    for r in range(1, len(t) + 1):
+        best.append(max((best[k][0] + (cum[r] - cum[k]) * (math.log(cum[r] - cum[k]) - math.log(edges[r] - edges[k])) - 2.0, best[k][1] + 1) for k in range(r)))
+    assert rows["chr1"].n_blocks == best[-1][1] and math.isclose(rows["chr1"].fitness, best[-1][0]) and rows["chr1"].prior == 2.0
+    assert rows[None].n_blocks == rows["chr1"].n_blocks
+
+
+def test_data_sets(spark, tmp_path):
+    q = spark.createDataFrame([("chr1", 5, 9, 2, "+", "b")], schema.QBED)
+    io.save_qbed(q, str(tmp_path / "SP1_Cre" / "SP1_P10"))
+    registry = io.DatasetRegistry(spark, str(tmp_path))
+    assert registry.get("SP1_Cre", "SP1_P10").collect() == q.collect()
+    with pytest.raises(ValueError):
+        registry.get("SP1_Cre", "nothing")
+    assert intervals.clean_qbed(q.union(spark.createDataFrame([("chrUn", 5, 9, 2, "+", "b")], schema.QBED))).count() == 1
