@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -28,29 +29,71 @@ def cumulative_poisson(exp: Column, bg: Column, total_exp: Column, total_bg: Col
     return F.when(total_bg >= total_exp, down).otherwise(up)
 
 
-@lru_cache(maxsize=200_000)
 def log_choose(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) if 0 <= k <= n else -math.inf
-
-
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
+def exact_test(k: int, lo: int, hi: int, mode: int, log_mass: Callable[[int], float], ratio: Callable[[int], float], two_sided: bool) -> float:
+    """P(X >= k), or the mass of all outcomes at most 1e-7 likelier than k, of a distribution on lo..hi with one peak. ratio(i): the mass of i + 1 over that of i.
+
+    Terms are added outwards, where they fall, until they vanish: as many as the spread asks for, whatever the counts."""
+    mode = min(max(mode, lo), hi)
+    while mode < hi and ratio(mode) > 1:
+        mode += 1
+    while mode > lo and ratio(mode - 1) < 1:
+        mode -= 1
+
+    def above(i: int) -> float:
+        total = term = math.exp(log_mass(i)) if i <= hi else 0.0
+        while i < hi and term > total * 1e-18:
+            term *= ratio(i)
+            total += term
+            i += 1
+        return total
+
+    def below(i: int) -> float:
+        total = term = math.exp(log_mass(i)) if i >= lo else 0.0
+        while i > lo and term > total * 1e-18:
+            i -= 1
+            term /= ratio(i)
+            total += term
+        return total
+
+    if not two_sided:
+        return min(1.0, above(k) if k > mode else max(0.0, 1 - below(k - 1)))
+    limit = log_mass(k) + 1e-7
+    if log_mass(mode) <= limit:
+        return 1.0
+    # The last outcome below the peak and the first above it that count.
+    left, right = lo - 1, mode
+    while right - left > 1:
+        m = (left + right) // 2
+        left, right = (m, right) if log_mass(m) <= limit else (left, m)
+    low, left, right = left, mode, hi + 1
+    while right - left > 1:
+        m = (left + right) // 2
+        left, right = (left, m) if log_mass(m) <= limit else (m, right)
+    return min(1.0, below(low) + above(right))
+
+
+@lru_cache(maxsize=100_000)
 def binomial_test(k: int, n: int, p: float, two_sided: bool = False) -> float:
     if n == 0:
         return 1.0
     if p <= 0 or p >= 1:
         certain = 0 if p <= 0 else n
         return 1.0 if k == certain or (not two_sided and k < certain) else 0.0
-    mass = [math.exp(log_choose(n, i) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(n + 1)]
-    limit = mass[k] * (1 + 1e-7)
-    return min(1.0, math.fsum(m for m in mass if m <= limit) if two_sided else math.fsum(mass[k:]))
+    mass = lambda i: log_choose(n, i) + i * math.log(p) + (n - i) * math.log1p(-p)
+    return exact_test(k, 0, n, int((n + 1) * p), mass, lambda i: (n - i) * p / ((i + 1) * (1 - p)), two_sided)
 
 
+@lru_cache(maxsize=100_000)
 def fisher_test(n1: int, n2: int, t1: int, t2: int, two_sided: bool = False) -> float:
     """Of the table [[n1, n2], [t1 - n1, t2 - n2]]."""
-    lo, hi = max(0, n1 + n2 - t2), min(n1 + n2, t1)
-    whole = log_choose(t1 + t2, n1 + n2)
-    logs = [log_choose(t1, i) + log_choose(t2, n1 + n2 - i) - whole for i in range(lo, hi + 1)]
-    limit = logs[n1 - lo] + 1e-7
-    return min(1.0, math.fsum(math.exp(x) for x in logs if x <= limit) if two_sided else math.fsum(math.exp(x) for x in logs[n1 - lo :]))
+    drawn = n1 + n2
+    whole = log_choose(t1 + t2, drawn)
+    mass = lambda i: log_choose(t1, i) + log_choose(t2, drawn - i) - whole
+    return exact_test(n1, max(0, drawn - t2), min(drawn, t1), (drawn + 1) * (t1 + 1) // (t1 + t2 + 2), mass, lambda i: (t1 - i) * (drawn - i) / ((i + 1) * (t2 - drawn + i + 1)), two_sided)
 
 
 def difference_test(method: str, alternative: str = "greater"):

@@ -316,3 +316,24 @@ def test_data_sets(spark, tmp_path):
     with pytest.raises(ValueError):
         registry.get("SP1_Cre", "nothing")
     assert intervals.clean_qbed(q.union(spark.createDataFrame([("chrUn", 5, 9, 2, "+", "b")], schema.QBED))).count() == 1
+
+
+def test_exact_tests_against_fractions():
+    rnd = random.Random(8)
+    for _ in range(300):
+        t1, t2 = rnd.randrange(1, 30), rnd.randrange(1, 30)
+        n1, n2 = rnd.randrange(t1 + 1), rnd.randrange(t2 + 1)
+        mass = {i: Fraction(comb(t1, i) * comb(t2, n1 + n2 - i), comb(t1 + t2, n1 + n2)) for i in range(max(0, n1 + n2 - t2), min(n1 + n2, t1) + 1)}
+        assert math.isclose(stats.fisher_test(n1, n2, t1, t2), sum(m for i, m in mass.items() if i >= n1), rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(stats.fisher_test(n1, n2, t1, t2, True), sum(m for m in mass.values() if m <= mass[n1]), rel_tol=1e-9)
+        n, p = rnd.randrange(1, 40), Fraction(rnd.randrange(1, 20), 20)
+        k, mass = rnd.randrange(n + 1), [comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
+        assert math.isclose(stats.binomial_test(k, n, float(p)), sum(mass[k:]), rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(stats.binomial_test(k, n, float(p), True), sum(m for m in mass if m <= mass[k]), rel_tol=1e-9)
+
+
+def test_exact_tests_of_large_counts():
+    # Half of ten million, give or take: the tails meet, and no list of outcomes is made.
+    assert math.isclose(stats.binomial_test(5_000_000, 10_000_000, 0.5), 0.5 + math.exp(stats.log_choose(10_000_000, 5_000_000) - 10_000_000 * math.log(2)) / 2, rel_tol=1e-6)
+    assert stats.binomial_test(5_000_000, 10_000_000, 0.5, True) == 1.0
+    assert 0 < stats.fisher_test(3000, 2500, 10_000_000, 10_000_000) < 1e-10
