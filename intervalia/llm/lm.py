@@ -6,10 +6,10 @@ grows with the corpus, is never sent to the driver or to every worker, and words
 
 The model reads subword ids of the same words: byte-level BPE by the first PIECES ranks of a public rank file, each word after a space, then the end. It has one head of causal
 attention over windows of WINDOW positions, a hidden layer, and an output in two steps, group and member. Windows overlap by OVERLAP positions; each
-id is scored once, with at least that many before it where the text has them. It learns in two steps:
-1. a start on the driver, from whole training texts in the order of a hash of their id: SAMPLE_DOCUMENTS and SAMPLE_BYTES at most, STEPS steps of BATCH windows drawn from all of them;
-2. on the executors, from every training document: each task goes on from the start with a window at a random place for each SPACING bytes of its documents, one at least, and the tasks' changes are
-   averaged by their number of windows. So what the model learns from, like the counts, grows with the corpus.
+id is scored once, with at least that many before it where the text has them. It learns on the executors from every id of every training document, nothing is drawn: a text's windows follow each
+other, so each id is a target once, after what its window holds of the text before it. Three rounds take the documents by a hash of their id, a 64th, seven and the other 56; in a round each task goes on from the
+same weights through the windows of its documents, in random order within a lot of texts, and the tasks' changes are averaged by their number of windows. A small corpus is read several times. The weights depend on how rows lie
+in partitions, as the order of reading does. So what the model learns from, like the counts, is the whole corpus.
 
 A token's probability mixes both: KEEP * (1 - n1 / N) of the share c / N of its count, the rest of the model's probability of its ids. n1 is the number of words that training
 documents hold once, n1 / N the chance of a new word (Good-Turing). The score is the sum of log10 probabilities of a text's tokens.
@@ -41,12 +41,13 @@ WIDTH = 32
 HIDDEN = 32
 WINDOW = 16
 OVERLAP = WINDOW // 2
-SAMPLE_DOCUMENTS = 2000
-SAMPLE_BYTES = 32_000_000
-STEPS, BATCH, RATE = 900, 128, 16e-3
-#: Bytes of text for each window of the second step, and of the excerpt that the window is in.
-SPACING, EXCERPT = 1500, 160
-BATCH_AFTER, RATE_AFTER = 512, 1e-3
+#: Rounds of learning: each over the documents whose hash, modulo PARTS, is below its first number and not below the one before; its batch of windows; its rate.
+PARTS = 64
+ROUNDS = ((1, 128, 16e-3), (8, 256, 12e-3), (64, 1024, 8e-3))
+#: Fewer tokens than so many steps of so many windows take are read again until they make as many; so many times at most as there are steps.
+STEPS, BATCH = 900, 128
+#: Bytes of the texts that a worker learns from at once.
+LEARNT_BYTES = 6_000_000
 #: Tasks' changes are summed in so many groups, then on the driver.
 GROUPS = 16
 KEEP = 0.5
@@ -162,37 +163,111 @@ def log_sum(logits: np.ndarray) -> np.ndarray:
     return np.log(total)
 
 
-def gradient(w: dict[str, np.ndarray], context: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log likelihood of the weighted positions."""
-    states, x, q, k, v, att, c, h, r = hidden(w, context)
-    n, d = targets.size, WIDTH
-    flat, t, m = states.reshape(n, d), targets.ravel(), (weight.ravel() / max(1.0, weight.sum())).astype(np.float32)
-    group, member = t // GROUP, t % GROUP
-    p = softmax(flat @ w["G"] + w["g"])
-    p[np.arange(n), group] -= 1
-    p *= m[:, None]
-    out = {"G": flat.T @ p, "g": p.sum(0), "M": np.zeros_like(w["M"]), "m": np.zeros_like(w["m"])}
-    ds = p @ w["G"].T
-    for g in np.unique(group):
-        rows = np.flatnonzero(group == g)
-        p = softmax(flat[rows] @ w["M"][g] + w["m"][g])
-        p[np.arange(len(rows)), member[rows]] -= 1
-        p *= m[rows, None]
-        out["M"][g], out["m"][g] = flat[rows].T @ p, p.sum(0)
-        ds[rows] += p @ w["M"][g].T
-    two = lambda a: a.reshape(-1, a.shape[-1])
-    dr = (ds @ w["B"].T) * (two(r) > 0)
-    out["B"], out["A"], out["a"] = two(r).T @ ds, two(h).T @ dr, dr.sum(0)
-    dh = ds + dr @ w["A"].T
-    out["O"] = two(c).T @ dh
-    dc = (dh @ w["O"].T).reshape(c.shape)
-    da, dv = dc @ v.transpose(0, 2, 1), att.transpose(0, 2, 1) @ dc
-    dz = att * (da - (da * att).sum(-1, keepdims=True)) * np.float32(d**-0.5)
-    dq, dk = dz @ k, dz.transpose(0, 2, 1) @ q
-    dx = dh.reshape(x.shape) + dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T
-    out |= {"Q": two(x).T @ two(dq), "K": two(x).T @ two(dk), "V": two(x).T @ two(dv), "P": dx.sum(0)}
-    out["E"] = np.zeros_like(w["E"])
-    np.add.at(out["E"], context.ravel(), two(dx))
+def shares_left(logits: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of each row: its weight times the shares of the exponentials, less the weight at `at`, in place."""
+    # As in log_sum().
+    if float(logits.max()) > 60 or float(logits.min()) < -60:
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= (weight / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
+    logits.reshape(-1)[np.arange(0, logits.size, logits.shape[1]) + at] -= weight
+    return logits
+
+
+def gradient(w: dict[str, np.ndarray], context: np.ndarray, targets: np.ndarray, weight: np.ndarray, some: int = 32, several: int = 1024) -> dict[str, np.ndarray]:
+    """Of the mean negative log likelihood of the weighted positions. Windows and positions are taken in lots that stay in cache; which changes no result."""
+    n, d, kind = targets.size, WIDTH, w["E"].dtype
+    scale, mask, ones = kind.type(d**-0.5), MASK.astype(kind), np.ones(WINDOW, kind)
+    inner = np.concatenate([w["Q"] * scale, w["K"], w["V"]], axis=1)
+    three = lambda y: (y[..., :d], y[..., d : 2 * d], y[..., 2 * d :])
+    out = {k: np.zeros_like(x) for k, x in w.items() if k not in "QKVGgMm"}
+    states, kept = np.ones((n, d + 1), kind), []
+    for a in range(0, len(context), some):
+        ids = context[a : a + some]
+        x = np.take(w["E"], ids, axis=0)
+        x += w["P"]
+        x = x.reshape(-1, d)
+        y = (x @ inner).reshape(len(ids), WINDOW, 3 * d)
+        q, k, v = three(y)
+        att = q @ k.transpose(0, 2, 1)
+        att += mask
+        if float(att.max()) > 60 or float(att[:, :, 0].min()) < -60:
+            att -= att.max(axis=-1, keepdims=True)
+        np.exp(att, out=att)
+        att /= (att.reshape(-1, WINDOW) @ ones).reshape(len(ids), WINDOW, 1)
+        c = (att @ v).reshape(-1, d)
+        h = c @ w["O"]
+        h += x
+        r = h @ w["A"]
+        r += w["a"]
+        np.maximum(r, 0, out=r)
+        last = states[a * WINDOW : a * WINDOW + len(x), :d]
+        np.matmul(r, w["B"], out=last)
+        last += h
+        kept.append((x, y, att, c, h, r))
+
+    # The output, sorted by group: each group's members are one product. A bias is one more row.
+    flat = targets.ravel()
+    group = (flat // GROUP).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(w["g"])))])
+    states, group, member = states[order], group[order], (flat % GROUP)[order]
+    share = (weight.ravel() / max(1.0, weight.sum())).astype(kind)[order]
+    groups, members = np.concatenate([w["G"], w["g"][None]]), np.concatenate([w["M"], w["m"][:, None]], axis=1)
+    of_groups, of_members, sorted_ds = np.zeros_like(groups), np.zeros_like(members), np.empty((n, d), kind)
+    back = np.ascontiguousarray(w["G"].T)
+    for a in range(0, n, several):
+        b = min(a + several, n)
+        p = shares_left(states[a:b] @ groups, group[a:b], share[a:b])
+        of_groups += states[a:b].T @ p
+        np.matmul(p, back, out=sorted_ds[a:b])
+    for g in np.flatnonzero(np.diff(ends)):
+        a, b = ends[g], ends[g + 1]
+        p = shares_left(states[a:b] @ members[g], member[a:b], share[a:b])
+        np.matmul(states[a:b].T, p, out=of_members[g])
+        sorted_ds[a:b] += p @ w["M"][g].T
+    out |= {"G": of_groups[:d], "g": of_groups[d], "M": of_members[:, :d], "m": of_members[:, d]}
+    states_ds = np.empty_like(sorted_ds)
+    states_ds[order] = sorted_ds
+
+    of_inner, every_dx, back = np.zeros_like(inner), np.empty((n, d), kind), np.ascontiguousarray(inner.T)
+    for i, (x, y, att, c, h, r) in enumerate(kept):
+        here = slice(i * some * WINDOW, i * some * WINDOW + len(x))
+        ds = states_ds[here]
+        dr = ds @ w["B"].T
+        dr *= r > 0
+        out["B"] += r.T @ ds
+        out["A"] += h.T @ dr
+        out["a"] += dr.sum(0)
+        dh = dr @ w["A"].T
+        dh += ds
+        out["O"] += c.T @ dh
+        dc = dh @ w["O"].T
+        # The sum over the keys of share and change is the product of c and its change.
+        dot = np.einsum("ij,ij->i", dc, c).reshape(-1, WINDOW, 1)
+        dc = dc.reshape(-1, WINDOW, d)
+        q, k, v = three(y)
+        dz = dc @ v.transpose(0, 2, 1)
+        dz -= dot
+        dz *= att
+        dy = np.empty_like(y)
+        dq, dk, dv = three(dy)
+        np.matmul(dz, k, out=dq)
+        np.matmul(dz.transpose(0, 2, 1), q, out=dk)
+        np.matmul(att.transpose(0, 2, 1), dc, out=dv)
+        dy = dy.reshape(-1, 3 * d)
+        of_inner += x.T @ dy
+        dx = every_dx[here]
+        np.matmul(dy, back, out=dx)
+        dx += dh
+    dq, dk, dv = three(of_inner)
+    out |= {"Q": dq * scale, "K": dk, "V": dv}
+    out["P"] += every_dx.reshape(-1, WINDOW * d).sum(0).reshape(WINDOW, d)
+    ids = context.ravel().astype(np.int16)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    out["E"][ids[first]] = np.add.reduceat(every_dx[order], first, axis=0)
     return out
 
 
@@ -208,45 +283,55 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Adam:
     def __init__(self, w: dict[str, np.ndarray]):
         self.w, self.step = w, 0
-        self.first, self.second = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.first, self.second, self.room = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(3))
 
     def down(self, grad: dict[str, np.ndarray], rate: float) -> None:
         self.step += 1
         for k, g in grad.items():
-            m, v = self.first[k], self.second[k]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            self.w[k] -= (rate / (1 - 0.9**self.step) * m / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+            m, v, room = self.first[k], self.second[k], self.room[k]
+            np.subtract(g, m, out=room)
+            room *= 0.1
+            m += room
+            np.multiply(g, g, out=room)
+            room -= v
+            room *= 0.01
+            v += room
+            np.multiply(v, 1 / (1 - 0.99**self.step), out=room)
+            np.sqrt(room, out=room)
+            room += 1e-8
+            np.divide(m, room, out=room)
+            room *= rate / (1 - 0.9**self.step)
+            self.w[k] -= room
 
 
 class Windows:
-    """Sequences of ids that end with END, to draw windows from."""
-
-    def __init__(self, sequences: list[np.ndarray]):
-        self.lengths = np.array([len(s) for s in sequences])
-        self.base = np.cumsum(self.lengths + 1) - (self.lengths + 1)
-        self.joined = np.concatenate([*(np.concatenate([[END], s]) for s in sequences), np.full(WINDOW + 1, END)]).astype(np.int64)
-
-    def draw(self, seq: np.ndarray, rng: np.random.Generator, low: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts, targets and weights of a window of each of these sequences, none from before low, a tenth of them there."""
-        at = low + (rng.random(len(seq)) * np.maximum(1, self.lengths[seq] - OVERLAP - low)).astype(np.int64)
-        at = np.where(rng.random(len(seq)) < 0.1, low, at)
-        index = (self.base[seq] + at)[:, None] + np.arange(WINDOW)
-        inside = at[:, None] + np.arange(WINDOW) < self.lengths[seq][:, None]
-        return self.joined[index], self.joined[index + 1], inside.astype(np.float32)
-
-
-def train(sequences: list[np.ndarray], steps: int = STEPS, batch: int = BATCH) -> dict[str, np.ndarray]:
-    """Adam on windows drawn from all sequences, the longer ones as much more often."""
-    w = started()
-    if not sequences:
-        return w
-    rng, adam, source = np.random.default_rng(11), Adam(w), Windows(sequences)
-    share = np.cumsum(source.lengths) / source.lengths.sum()
-    for step in range(1, steps + 1):
-        seq = np.searchsorted(share, rng.random(batch) * (1 - 1e-12))
-        adam.down(gradient(w, *source.draw(seq, rng)), RATE * min(1.0, step / 20) * (1 - 0.9 * step / steps))
-    return w
+    """The ids of binary texts, each with its end and after one, and windows of them: every id is the target of one window."""
+
+    def __init__(self, pieces: Pieces, texts: pa.Array):
+        index, lengths, names = numbered(texts)
+        places, sizes = pieces.ids(names)
+        first, sizes = np.append(np.cumsum(sizes) - sizes, len(places)), np.append(sizes, 1)
+        # The end has the last number.
+        words, last = np.full(len(index) + len(lengths), len(names)), np.cumsum(lengths + 1) - 1
+        inner = np.ones(len(words), bool)
+        inner[last] = False
+        words[inner] = index
+        ids = spelled(np.append(places, np.int16(END)), sizes, first, words)
+        self.joined = np.concatenate([[END], ids, np.full(WINDOW, END)]).astype(np.int16)
+        stops = np.cumsum(sizes[words])[last]
+        base = np.append(0, stops[:-1])
+        each = -(-(stops - base) // WINDOW)
+        self.stop = np.repeat(stops, each)
+        self.start = np.repeat(base - WINDOW * (np.cumsum(each) - each), each) + WINDOW * np.arange(len(self.stop))
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def take(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts, targets and weights of these windows; positions behind a text's end weigh nothing."""
+        at = self.start[some][:, None] + np.arange(WINDOW + 1)
+        found = self.joined[at]
+        return found[:, :-1], found[:, 1:], (at[:, :-1] < self.stop[some][:, None]).astype(np.float32)
 
 
 class Scorer:
@@ -370,12 +455,12 @@ class Scorer:
 
 
 def spelled(places: np.ndarray, sizes: np.ndarray, first: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """The ids of a text of word numbers, and the end. A word's ids are the sizes[word] places from first[word] on."""
+    """The ids of word numbers. A word's ids are the sizes[word] places from first[word] on."""
     each = sizes[text]
     stop = np.cumsum(each)
     at = np.repeat(first[text] - (stop - each), each)
     at += np.arange(len(at))
-    return np.append(places[at], np.int16(END))
+    return places[at]
 
 
 def sequences_of(pieces: Pieces, texts: list[list[bytes]]) -> list[np.ndarray]:
@@ -383,7 +468,7 @@ def sequences_of(pieces: Pieces, texts: list[list[bytes]]) -> list[np.ndarray]:
     number: dict[bytes, int] = {}
     numbers = [np.fromiter((number.setdefault(x, len(number)) for x in t), np.int32, len(t)) for t in texts]
     places, sizes = pieces.ids(list(number))
-    return [spelled(places, sizes, np.cumsum(sizes) - sizes, t) for t in numbers]
+    return [np.append(spelled(places, sizes, np.cumsum(sizes) - sizes, t), np.int16(END)) for t in numbers]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -426,49 +511,32 @@ def portions(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterato
         yield out()
 
 
-def trained(docs: DataFrame, rule, raw: bytes, documents: int = SAMPLE_DOCUMENTS, size: int = SAMPLE_BYTES) -> dict[str, np.ndarray]:
-    """The model's start, from a sample of the rows that rule selects, bounded in documents and in bytes."""
-    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
-    text = docs["text"].cast("string")
-    # Ids and lengths first: only the texts of the sample travel, whole.
-    found = docs.where(rule).groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("_size")).orderBy(*order).limit(documents)
-    chosen, total = [], 0
-    for r in found.collect():
-        if total + r._size <= size:
-            chosen.append((r.doc_id,))
-            total += r._size
-    ids = docs.sparkSession.createDataFrame(chosen, T.StructType([docs.schema["doc_id"]]))
-    rows = docs.select("doc_id", text.alias("_text")).join(F.broadcast(ids), "doc_id").orderBy(*order, "_text").collect()
-    return train(sequences_of(Pieces(raw), [words_of((r._text or "").encode()) for r in rows]))
-
-
-def refined(docs: DataFrame, rule, raw: bytes, start: dict[str, np.ndarray], spacing: int = SPACING) -> dict[str, np.ndarray]:
-    """The model after windows of every row that rule selects, one for each `spacing` bytes: the mean of the tasks' changes, by their windows."""
+def trained(docs: DataFrame, rule, raw: bytes, tokens: int) -> dict[str, np.ndarray]:
+    """The model after every document that rule selects; these have so many tokens. In rounds, each over documents of its own; few tokens are read several times, in small batches."""
+    times = min(STEPS, -(-STEPS * BATCH * WINDOW // max(1, tokens)))
+    part, w = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(PARTS)), started()
+    for k, (below, batch, rate) in enumerate(ROUNDS):
+        w = refined(docs, rule & (part >= (ROUNDS[k - 1][0] if k else 0)) & (part < below), raw, w, BATCH if times > 1 else batch, rate, times)
+    return w
+
+
+def refined(docs: DataFrame, rule, raw: bytes, start: dict[str, np.ndarray], batch: int = 128, rate: float = 1e-3, times: int = 1) -> dict[str, np.ndarray]:
+    """The model after every id of every row that rule selects: each task goes on from the start; the mean of the tasks' changes, by their windows."""
     shared = docs.sparkSession.sparkContext.broadcast((raw, start))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, start = shared.value
-        pieces, w, task = Pieces(raw), {k: v.copy() for k, v in start.items()}, TaskContext.get().partitionId()
-        rng, adam, waiting, n = np.random.default_rng(task), Adam(w), [], 0
-
-        def steps(least: int) -> None:
-            some = [np.concatenate(x) for x in zip(*waiting, strict=True)]
-            order = rng.permutation(len(some[0]))
-            done = 0
-            while len(order) - done >= least and done < len(order):
-                at = order[done : done + BATCH_AFTER]
-                adam.down(gradient(w, *(x[at] for x in some)), RATE_AFTER * min(1.0, (adam.step + 1) / 20))
-                done += len(at)
-            waiting[:] = [tuple(x[order[done:]] for x in some)]
-
-        for texts in gathered(batches):
-            source, low = excerpts(pieces, texts, spacing, rng)
-            waiting.append(source.draw(np.arange(len(source.lengths)), rng, low))
-            n += len(source.lengths)
-            if sum(len(x[0]) for x in waiting) >= 4 * BATCH_AFTER:
-                steps(BATCH_AFTER)
+        pieces, w, task, n = None, None, TaskContext.get().partitionId(), 0
+        for some in portions(batches, COUNTED_DOCUMENTS, LEARNT_BYTES):
+            if pieces is None:
+                raw, start = shared.value
+                pieces, w = Pieces(raw), {k: v.copy() for k, v in start.items()}
+                rng, adam = np.random.default_rng(task), Adam(w)
+            source = Windows(pieces, some.columns[0])
+            for time in range(times):
+                for at in np.array_split(rng.permutation(len(source)), -(-len(source) // batch)):
+                    adam.down(gradient(w, *source.take(at)), rate * min(1.0, (adam.step + 1) / 20) * (1 - 0.9 * time / times))
+            n += len(source)
         if n:
-            steps(1)
             yield pa.RecordBatch.from_arrays([pa.array([task % GROUPS], pa.int32()), pa.array([n], pa.int64()), pa.array([n * (flat(w) - flat(start))], pa.list_(pa.float32()))], names=["_g", "_n", "_w"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -491,25 +559,6 @@ def refined(docs: DataFrame, rule, raw: bytes, start: dict[str, np.ndarray], spa
     return raised(start, change.astype(np.float32))
 
 
-def excerpts(pieces: Pieces, texts: list[bytes | None], spacing: int, rng: np.random.Generator) -> tuple[Windows, np.ndarray]:
-    """Sequences of EXCERPT bytes of words at random places of each text, one for each `spacing` bytes, and the first position of each that may be predicted: 0 only at the text's start."""
-    found, low, whole = [], [], []
-    for text in texts:
-        text = text or b""
-        for at in (rng.random(-(-max(1, len(text)) // spacing)) * max(1, len(text) - EXCERPT // 2)).astype(int).tolist():
-            at = 0 if at < EXCERPT // 4 else at
-            cut = text[at : at + EXCERPT].decode("utf-8", "ignore").encode()
-            words = words_of(cut)
-            ends = at + EXCERPT >= len(text)
-            # Words that the excerpt cuts are left out, unless there is no other.
-            words = words[int(at > 0 and len(words) > 2) : len(words) - int(not ends and len(words) > 2)]
-            found.append(words)
-            low.append(int(at > 0 and bool(words)))
-            whole.append(ends or not words)
-    made = [s if w else s[:-1] for s, w in zip(sequences_of(pieces, found), whole, strict=True)]
-    return Windows(made), np.minimum(low, [len(s) - 1 for s in made])
-
-
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in sorted(w)])
 
@@ -523,20 +572,6 @@ def raised(w: dict[str, np.ndarray], change: np.ndarray) -> dict[str, np.ndarray
     return out
 
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[list[bytes | None]]:
-    """The texts in the batches' first column, in lists of about so many bytes."""
-    texts, held = [], 0
-    for batch in parts(batches):
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            texts.append(text)
-            held += len(text or b"")
-            if held >= size:
-                yield texts
-                texts, held = [], 0
-    if texts:
-        yield texts
-
-
 def word_counts(docs: DataFrame, rule) -> DataFrame:
     """_word, _c: occurrences in all rows that rule selects."""
 
@@ -624,7 +659,7 @@ def blocks(docs: DataFrame, w: dict[str, np.ndarray], hot: tuple[pa.Array, np.nd
         size = 0
 
         def flush() -> None:
-            made = [spelled(places, sizes, first, texts[i]) for i in some]
+            made = [np.append(spelled(places, sizes, first, texts[i]), np.int16(END)) for i in some]
             own = lengths[some] + 1
             doc, word = np.repeat(some, own), np.full(int(own.sum()), len(names), np.int64)
             inner = np.ones(len(word), bool)
@@ -678,7 +713,7 @@ def scored(docs: DataFrame, path: str, mod: int = 5, rest: int = 1) -> DataFrame
     words, kinds, once = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("_c") == 1)).first()
     ends = docs.where(rule).count()
     totals = Totals(words + ends, kinds + int(ends > 0), ends, once)
-    w = refined(docs, rule, raw, trained(docs, rule, raw))
+    w = trained(docs, rule, raw, totals.n)
     source = docs.select("doc_id", held.alias("_held"), docs["text"].cast("string").alias("_text"))
     # Written once: a block's rows refer to places in it.
     rows = checkpointed(blocks(source, w, hot_words(counts), totals, raw))
