@@ -163,111 +163,132 @@ def log_sum(logits: np.ndarray) -> np.ndarray:
     return np.log(total)
 
 
-def shares_left(logits: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Of each row: its weight times the shares of the exponentials, less the weight at `at`, in place."""
-    # As in log_sum().
-    if float(logits.max()) > 60 or float(logits.min()) < -60:
-        logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits *= (weight / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
-    logits.reshape(-1)[np.arange(0, logits.size, logits.shape[1]) + at] -= weight
-    return logits
-
-
-def gradient(w: dict[str, np.ndarray], context: np.ndarray, targets: np.ndarray, weight: np.ndarray, some: int = 32, several: int = 1024) -> dict[str, np.ndarray]:
+class Room:
+    """Arrays that are used again: memory that is given back and asked for anew costs page faults."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        size, x = math.prod(shape), self.held.get(name)
+        if x is None or len(x) < size or x.dtype != kind:
+            x = self.held[name] = np.empty(size, kind)
+        return x[:size].reshape(shape)
+
+
+def row_sums(logits: np.ndarray) -> np.ndarray | None:
+    """The logits become their exponentials; the sum of each row, or none if a sum leaves the range of its type: then rows have to be shifted first."""
+    with np.errstate(over="ignore"):
+        total = np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)
+    return total if total.min() > 1e-30 and total.max() < 1e37 else None
+
+
+def shares_left(states: np.ndarray, weights: np.ndarray, at: np.ndarray, weight: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Of each row of states @ weights: its weight times the shares of the exponentials, less the weight at `at`. In room."""
+    p = room[: len(states) * weights.shape[1]].reshape(len(states), -1)
+    total = row_sums(np.matmul(states, weights, out=p))
+    if total is None:
+        np.matmul(states, weights, out=p)
+        p -= p.max(axis=1, keepdims=True)
+        total = row_sums(p)
+    p *= (weight / total)[:, None]
+    p.reshape(-1)[np.arange(0, p.size, p.shape[1]) + at] -= weight
+    return p
+
+
+def gradient(w: dict[str, np.ndarray], context: np.ndarray, targets: np.ndarray, weight: np.ndarray, some: int = 64, several: int = 1024, room: Room | None = None) -> dict[str, np.ndarray]:
     """Of the mean negative log likelihood of the weighted positions. Windows and positions are taken in lots that stay in cache; which changes no result."""
-    n, d, kind = targets.size, WIDTH, w["E"].dtype
-    scale, mask, ones = kind.type(d**-0.5), MASK.astype(kind), np.ones(WINDOW, kind)
+    n, d, kind, room = targets.size, WIDTH, w["E"].dtype, room or Room()
+    scale, mask, ones, wide = kind.type(d**-0.5), MASK.astype(kind), np.ones(WINDOW, kind), np.ones(d, kind)
     inner = np.concatenate([w["Q"] * scale, w["K"], w["V"]], axis=1)
     three = lambda y: (y[..., :d], y[..., d : 2 * d], y[..., 2 * d :])
-    out = {k: np.zeros_like(x) for k, x in w.items() if k not in "QKVGgMm"}
-    states, kept = np.ones((n, d + 1), kind), []
-    for a in range(0, len(context), some):
-        ids = context[a : a + some]
-        x = np.take(w["E"], ids, axis=0)
-        x += w["P"]
-        x = x.reshape(-1, d)
-        y = (x @ inner).reshape(len(ids), WINDOW, 3 * d)
-        q, k, v = three(y)
-        att = q @ k.transpose(0, 2, 1)
-        att += mask
-        if float(att.max()) > 60 or float(att[:, :, 0].min()) < -60:
-            att -= att.max(axis=-1, keepdims=True)
+    out = {k: np.zeros_like(w[k]) for k in "EPOB"}
+    # A bias is one more row of its product.
+    groups, members, first = (np.concatenate([w[k], w[k.lower()][..., None, :]], axis=-2) for k in "GMA")
+    of_first, of_inner = np.zeros_like(first), np.zeros_like(inner)
+    every = {"x": d, "y": 3 * d, "att": WINDOW, "c": d, "h": d + 1, "r": HIDDEN, "states": d + 1, "sorted": d + 1, "ds": d, "sorted_ds": d}
+    every = {k: room(k, kind, n, m) for k, m in every.items()}
+    every["h"][:, d] = every["states"][:, d] = 1
+    few = [room(f"few{k}", kind, some * WINDOW, m) for k, m in enumerate((d, HIDDEN, d, d, 3 * d, WINDOW, d))]
+    keys = lambda x: x.reshape(-1, WINDOW, x.shape[1])
+    lots = [(slice(a * WINDOW, min(a + some, len(context)) * WINDOW), context[a : a + some]) for a in range(0, len(context), some)]
+    for here, ids in lots:
+        x, y, att, c, h, r, last = (every[k][here] for k in ("x", "y", "att", "c", "h", "r", "states"))
+        add = few[0][: len(x)]
+        np.take(w["E"], ids, axis=0, mode="clip", out=keys(x))
+        keys(x)[...] += w["P"]
+        np.matmul(x, inner, out=y)
+        q, k, v = three(keys(y))
+        z = keys(att)
+        np.matmul(q, k.transpose(0, 2, 1), out=z)
+        z += mask
+        if float(z.max()) > 60 or float(z[:, :, 0].min()) < -60:
+            z -= z.max(axis=-1, keepdims=True)
         np.exp(att, out=att)
-        att /= (att.reshape(-1, WINDOW) @ ones).reshape(len(ids), WINDOW, 1)
-        c = (att @ v).reshape(-1, d)
-        h = c @ w["O"]
-        h += x
-        r = h @ w["A"]
-        r += w["a"]
+        att *= (1 / (att @ ones))[:, None]
+        np.matmul(z, v, out=keys(c))
+        np.add(np.matmul(c, w["O"], out=add), x, out=h[:, :d])
+        np.matmul(h, first, out=r)
         np.maximum(r, 0, out=r)
-        last = states[a * WINDOW : a * WINDOW + len(x), :d]
-        np.matmul(r, w["B"], out=last)
-        last += h
-        kept.append((x, y, att, c, h, r))
+        np.add(np.matmul(r, w["B"], out=add), h[:, :d], out=last[:, :d])
 
-    # The output, sorted by group: each group's members are one product. A bias is one more row.
+    # The output, sorted by group: each group's members are one product.
     flat = targets.ravel()
     group = (flat // GROUP).astype(np.uint8)
     order = np.argsort(group, kind="stable")
-    ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(w["g"])))])
-    states, group, member = states[order], group[order], (flat % GROUP)[order]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(w["g"])))]).tolist()
+    states, group, member = np.take(every["states"], order, axis=0, mode="clip", out=every["sorted"]), group[order], (flat % GROUP)[order]
     share = (weight.ravel() / max(1.0, weight.sum())).astype(kind)[order]
-    groups, members = np.concatenate([w["G"], w["g"][None]]), np.concatenate([w["M"], w["m"][:, None]], axis=1)
-    of_groups, of_members, sorted_ds = np.zeros_like(groups), np.zeros_like(members), np.empty((n, d), kind)
+    of_groups, of_members, sorted_ds = np.zeros_like(groups), np.zeros_like(members), every["sorted_ds"]
+    logits, add = room("logits", kind, several * max(GROUP, len(w["g"]))), room("add", kind, several, d)
     back = np.ascontiguousarray(w["G"].T)
     for a in range(0, n, several):
         b = min(a + several, n)
-        p = shares_left(states[a:b] @ groups, group[a:b], share[a:b])
+        p = shares_left(states[a:b], groups, group[a:b], share[a:b], logits)
         of_groups += states[a:b].T @ p
         np.matmul(p, back, out=sorted_ds[a:b])
-    for g in np.flatnonzero(np.diff(ends)):
-        a, b = ends[g], ends[g + 1]
-        p = shares_left(states[a:b] @ members[g], member[a:b], share[a:b])
-        np.matmul(states[a:b].T, p, out=of_members[g])
-        sorted_ds[a:b] += p @ w["M"][g].T
-    out |= {"G": of_groups[:d], "g": of_groups[d], "M": of_members[:, :d], "m": of_members[:, d]}
-    states_ds = np.empty_like(sorted_ds)
-    states_ds[order] = sorted_ds
-
-    of_inner, every_dx, back = np.zeros_like(inner), np.empty((n, d), kind), np.ascontiguousarray(inner.T)
-    for i, (x, y, att, c, h, r) in enumerate(kept):
-        here = slice(i * some * WINDOW, i * some * WINDOW + len(x))
-        ds = states_ds[here]
-        dr = ds @ w["B"].T
+    for g in range(len(w["g"])):
+        for a in range(ends[g], ends[g + 1], several):
+            b = min(a + several, ends[g + 1])
+            p = shares_left(states[a:b], members[g], member[a:b], share[a:b], logits)
+            of_members[g] += states[a:b].T @ p
+            sorted_ds[a:b] += np.matmul(p, w["M"][g].T, out=add[: b - a])
+    place = np.empty_like(order)
+    place[order] = np.arange(n)
+    every_ds, every_dx, back = np.take(sorted_ds, place, axis=0, mode="clip", out=every["ds"]), sorted_ds, np.ascontiguousarray(inner.T)
+
+    for here, _ in lots:
+        x, y, att, c, h, r, ds, dx = (every[k][here] for k in ("x", "y", "att", "c", "h", "r", "ds", "sorted_ds"))
+        _, dr, dh, dc, dy, dz, room_c = (f[: len(x)] for f in few)
+        np.matmul(ds, w["B"].T, out=dr)
         dr *= r > 0
         out["B"] += r.T @ ds
-        out["A"] += h.T @ dr
-        out["a"] += dr.sum(0)
-        dh = dr @ w["A"].T
+        of_first += h.T @ dr
+        np.matmul(dr, w["A"].T, out=dh)
         dh += ds
         out["O"] += c.T @ dh
-        dc = dh @ w["O"].T
+        np.matmul(dh, w["O"].T, out=dc)
+        q, k, v = three(keys(y))
+        np.matmul(keys(dc), v.transpose(0, 2, 1), out=keys(dz))
         # The sum over the keys of share and change is the product of c and its change.
-        dot = np.einsum("ij,ij->i", dc, c).reshape(-1, WINDOW, 1)
-        dc = dc.reshape(-1, WINDOW, d)
-        q, k, v = three(y)
-        dz = dc @ v.transpose(0, 2, 1)
-        dz -= dot
+        dz -= (np.multiply(dc, c, out=room_c) @ wide)[:, None]
         dz *= att
-        dy = np.empty_like(y)
-        dq, dk, dv = three(dy)
-        np.matmul(dz, k, out=dq)
-        np.matmul(dz.transpose(0, 2, 1), q, out=dk)
-        np.matmul(att.transpose(0, 2, 1), dc, out=dv)
-        dy = dy.reshape(-1, 3 * d)
+        dq, dk, dv = three(keys(dy))
+        np.matmul(keys(dz), k, out=dq)
+        np.matmul(keys(dz).transpose(0, 2, 1), q, out=dk)
+        np.matmul(keys(att).transpose(0, 2, 1), keys(dc), out=dv)
         of_inner += x.T @ dy
-        dx = every_dx[here]
         np.matmul(dy, back, out=dx)
         dx += dh
     dq, dk, dv = three(of_inner)
-    out |= {"Q": dq * scale, "K": dk, "V": dv}
+    out |= {"Q": dq * scale, "K": dk, "V": dv, "A": of_first[:d], "a": of_first[d]}
+    out |= {"G": of_groups[:d], "g": of_groups[d], "M": of_members[:, :d], "m": of_members[:, d]}
     out["P"] += every_dx.reshape(-1, WINDOW * d).sum(0).reshape(WINDOW, d)
     ids = context.ravel().astype(np.int16)
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
-    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    out["E"][ids[first]] = np.add.reduceat(every_dx[order], first, axis=0)
+    start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    out["E"][ids[start]] = np.add.reduceat(np.take(every_dx, order, axis=0, mode="clip", out=every["ds"]), start, axis=0)
     return out
 
 
@@ -286,21 +307,23 @@ class Adam:
         self.first, self.second, self.room = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(3))
 
     def down(self, grad: dict[str, np.ndarray], rate: float) -> None:
+        """The gradient's arrays are used up."""
         self.step += 1
+        # The square of 0.1 g is 0.01 g * g; the correction of the second moment is taken out of the root.
+        root = math.sqrt(1 / (1 - 0.99**self.step))
+        rate, least = rate / (1 - 0.9**self.step) / root, 1e-8 / root
         for k, g in grad.items():
             m, v, room = self.first[k], self.second[k], self.room[k]
-            np.subtract(g, m, out=room)
-            room *= 0.1
-            m += room
-            np.multiply(g, g, out=room)
-            room -= v
-            room *= 0.01
-            v += room
-            np.multiply(v, 1 / (1 - 0.99**self.step), out=room)
-            np.sqrt(room, out=room)
-            room += 1e-8
+            g *= 0.1
+            m *= 0.9
+            m += g
+            g *= g
+            v *= 0.99
+            v += g
+            np.sqrt(v, out=room)
+            room += least
             np.divide(m, room, out=room)
-            room *= rate / (1 - 0.9**self.step)
+            room *= rate
             self.w[k] -= room
 
 
@@ -530,11 +553,11 @@ def refined(docs: DataFrame, rule, raw: bytes, start: dict[str, np.ndarray], bat
             if pieces is None:
                 raw, start = shared.value
                 pieces, w = Pieces(raw), {k: v.copy() for k, v in start.items()}
-                rng, adam = np.random.default_rng(task), Adam(w)
+                rng, adam, room = np.random.default_rng(task), Adam(w), Room()
             source = Windows(pieces, some.columns[0])
             for time in range(times):
                 for at in np.array_split(rng.permutation(len(source)), -(-len(source) // batch)):
-                    adam.down(gradient(w, *source.take(at)), rate * min(1.0, (adam.step + 1) / 20) * (1 - 0.9 * time / times))
+                    adam.down(gradient(w, *source.take(at), room=room), rate * min(1.0, (adam.step + 1) / 20) * (1 - 0.9 * time / times))
             n += len(source)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([task % GROUPS], pa.int32()), pa.array([n], pa.int64()), pa.array([n * (flat(w) - flat(start))], pa.list_(pa.float32()))], names=["_g", "_n", "_w"])
