@@ -81,21 +81,13 @@ def merge_intervals(df: DataFrame) -> DataFrame:
 def nearest_genes(peaks: DataFrame, genes: DataFrame, k: int = 2, limit: int = 500_000) -> DataFrame:
     """chr, start, end and refseq, gene, direction, distance of the k nearest genes, numbered from 1; null where a chromosome has fewer.
 
-    The distance is 0 for an overlap, else the gap plus one, negative upstream. Ties go by gene start, end and refseq; genes without bounds are near nothing. Gene tables are a genome's
-    annotation: up to `limit` rows they are sent to all tasks, sorted by chromosome, and searched there by bisection, without a shuffle of pairs; a larger table is joined by chromosome.
+    The distance is 0 for an overlap, else the gap plus one, negative upstream. Ties go by gene start, end and refseq; genes without bounds are near nothing, and a gene ends where it starts or after. Up to
+    `limit` rows the genes are sent to all tasks, sorted by chromosome, and searched there by bisection, without a shuffle of pairs; a larger table is dealt by bins of a chromosome and searched in each.
     """
     unique = peaks.select("chr", "start", "end").distinct()
-    g = genes.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    g = genes.where(F.col("chr").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
     g = g.select(F.col("chr").alias("_chr"), F.col("start").cast("bigint").alias("gs"), F.col("end").cast("bigint").alias("ge"), "refseq", "gene", F.col("strand").alias("direction"))
-    some = g.limit(limit + 1).collect()
-    if len(some) <= limit:
-        return _searched(unique, some, k)
-    distance = F.when(F.col("gs") > F.col("end"), F.col("gs") - F.col("end") + 1).when(F.col("ge") < F.col("start"), F.col("ge") - F.col("start") - 1).otherwise(0)
-    near = F.struct(F.abs(distance).alias("far"), "gs", "ge", "refseq", "gene", "direction", distance.alias("distance"))
-    joined = unique.join(g, F.col("chr") == F.col("_chr"), "left").select("chr", "start", "end", F.when(F.col("_chr").isNotNull(), near).alias("_near"))
-    # The k best by successive minima: partial aggregation keeps k rows a peak and task, where a sorted window would move them all.
-    best = joined.groupBy("chr", "start", "end").agg(F.slice(F.array_sort(F.collect_list("_near")), 1, k).alias("_best")) if k > 2 else _two(joined)
-    return best.select("chr", "start", "end", *[F.get("_best", i)[c].alias(f"{n}{i + 1}") for i in range(k) for c, n in (("refseq", "refseq"), ("gene", "gene"), ("direction", "direction"), ("distance", "distance"))])
+    return _searched(unique, g.collect(), k) if g.count() <= limit else _binned(unique, g, k)
 
 
 class GeneIndex:
@@ -116,15 +108,24 @@ class GeneIndex:
 
     def nearest(self, start: int, end: int, k: int) -> list[tuple]:
         """(distance, gene) of the k nearest."""
+        return self.least(self.held(start, end, k) + self.after(end, k), k)
+
+    def least(self, found: list[tuple], k: int) -> list[tuple]:
+        return sorted(found, key=lambda x: (abs(x[0]), self.order(x[1])))[:k]
+
+    def held(self, start: int, end: int, k: int) -> list[tuple]:
+        """The first k that overlap, and the k nearest before."""
         found, i = [], bisect_left(self.reach, start)
         while i < len(self.genes) and self.starts[i] <= end and len(found) < k:
             if self.genes[i][1] >= start:
                 found.append((0, self.genes[i]))
             i += 1
-        after, before = bisect_right(self.starts, end), bisect_left(self.ends, start)
-        found += [(g[0] - end + 1, g) for g in self.genes[after : after + k]]
-        found += [(g[1] - start - 1, g) for g in self.by_end[max(0, before - k) : before] if g[0] <= end]
-        return sorted(found, key=lambda x: (abs(x[0]), self.order(x[1])))[:k]
+        before = bisect_left(self.ends, start)
+        return found + [(g[1] - start - 1, g) for g in self.by_end[max(0, before - k) : before] if g[0] <= end]
+
+    def after(self, end: int, k: int) -> list[tuple]:
+        first = bisect_right(self.starts, end)
+        return [(g[0] - end + 1, g) for g in self.genes[first : first + k]]
 
 
 def _searched(unique: DataFrame, genes: list, k: int) -> DataFrame:
@@ -150,11 +151,57 @@ def _searched(unique: DataFrame, genes: list, k: int) -> DataFrame:
     return unique.mapInArrow(run, T.StructType([*unique.schema.fields, *(T.StructField(n, T.LongType() if t == "bigint" else T.StringType()) for n, t in names)]))
 
 
-def _two(joined: DataFrame) -> DataFrame:
-    """Least and second least struct by aggregates that combine before the shuffle."""
-    first = joined.groupBy("chr", "start", "end").agg(F.min("_near").alias("_1"))
-    rest = joined.join(first, ["chr", "start", "end"]).where(F.col("_near") > F.col("_1")).groupBy("chr", "start", "end").agg(F.min("_near").alias("_2"))
-    return first.join(rest, ["chr", "start", "end"], "left").select("chr", "start", "end", F.array("_1", "_2").alias("_best"))
+GENE = ("gs", "ge", "refseq", "gene", "direction")
+
+
+def _binned(unique: DataFrame, genes: DataFrame, k: int, width: int = BIN) -> DataFrame:
+    """nearest_genes of a large table: a bin of a chromosome searches the genes that start or end in it, the first k that cover it, the first k of the bins after it and the last k of those before.
+
+    No pair of a peak and a gene is made, and no task holds a chromosome's genes. A peak asks the bin of its start, and that of its end for the genes after it. Of genes with equal bounds k are enough."""
+    at = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    best = lambda df, *by, order: df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+    g = best(genes, "_chr", "gs", "ge", order=GENE[2:]).withColumns({"_sb": at("gs"), "_eb": at("ge")})
+    asked = unique.where(F.col("start").isNotNull() & F.col("end").isNotNull()).withColumn("_bin", F.explode(F.array_distinct(F.array(at("start"), at("end")))))
+    kind = lambda df, n, b: df.select("_chr", F.col(b).alias("_bin"), F.lit(n).alias("_kind"), *GENE)
+    none = [F.lit(0).cast("bigint").alias(c) for c in GENE[:2]] + [F.lit(None).cast("string").alias(c) for c in GENE[2:]]
+    wanted = asked.select(F.col("chr").alias("_chr"), "_bin", F.lit(0).alias("_kind"), *none).distinct()
+    ends = union_all([kind(best(g, "_chr", "_sb", order=GENE), 1, "_sb"), kind(best(g, "_chr", "_eb", order=(F.desc("ge"), *GENE)), 2, "_eb"), wanted])
+    fields = T.StructType([T.StructField("_chr", T.StringType()), T.StructField("_bin", T.LongType()), *(T.StructField(c, T.LongType() if c in GENE[:2] else T.StringType()) for c in GENE)])
+
+    def carry(rows: pa.Table) -> pa.Table:
+        """For each bin that is asked: the first k genes of the later bins, the last k of the earlier ones. A chromosome has at most its length over the width of bins."""
+        bins: dict[int, dict[int, list[tuple]]] = {}
+        for b, of, *gene in zip(*(rows.column(c).to_pylist() for c in ("_bin", "_kind", *GENE)), strict=True):
+            bins.setdefault(b, {}).setdefault(of, []).append(tuple(gene))
+        out = []
+        for of, order in ((1, sorted(bins, reverse=True)), (2, sorted(bins))):
+            kept: list[tuple] = []
+            for b in order:
+                out += [(b, *x) for x in kept] if 0 in bins[b] else []
+                key = GeneIndex.order if of == 1 else lambda x: (-x[1], GeneIndex.order(x))
+                kept = sorted(kept + bins[b].get(of, []), key=key)[:k]
+        chrom = rows.column("_chr")[0].as_py()
+        return pa.table([pa.array([chrom] * len(out), pa.string()), *(pa.array([r[j] for r in out], pa.int64() if j < 3 else pa.string()) for j in range(6))], names=fields.names)
+
+    covered = g.where("_eb > _sb + 1").withColumn("_bin", F.explode(F.sequence(F.col("_sb") + 1, F.col("_eb") - 1)))
+    names = ["_chr", "_bin", *GENE]
+    near = union_all([g.withColumn("_bin", F.col("_sb")).select(names), g.where("_eb <> _sb").withColumn("_bin", F.col("_eb")).select(names), best(covered, "_chr", "_bin", order=GENE).select(names), ends.groupBy("_chr").applyInArrow(carry, fields)])
+    hit = T.StructType([T.StructField("chr", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("start", "end", "distance")), *fields.fields[2:]])
+
+    def run(genes: pa.Table, peaks: pa.Table) -> pa.Table:
+        index = GeneIndex(list(zip(*(genes.column(c).to_pylist() for c in GENE), strict=True)) if peaks.num_rows else [])
+        out = []
+        for c, start, end, b in zip(*(peaks.column(c).to_pylist() for c in ("chr", "start", "end", "_bin")), strict=True):
+            found = index.held(start, end, k) if start // width == b else []
+            found += index.after(end, k) if end // width == b else []
+            out += [(c, start, end, d, *x) for d, x in index.least(found, k)]
+        return pa.table([pa.array([r[j] for r in out], pa.int64() if 0 < j < 6 else pa.string()) for j in range(9)], names=hit.names)
+
+    hits = near.groupBy("_chr", "_bin").cogroup(asked.groupBy("chr", "_bin")).applyInArrow(run, hit)
+    # A peak over several bins has up to 2k.
+    both = hits.select("chr", "start", "end", F.struct(F.abs("distance").alias("far"), *GENE, "distance").alias("_near")).unionByName(unique, allowMissingColumns=True)
+    of = both.groupBy("chr", "start", "end").agg(F.slice(F.array_sort(F.collect_list("_near")), 1, k).alias("_best"))
+    return of.select("chr", "start", "end", *[F.get("_best", F.lit(i))[c].alias(f"{c}{i + 1}") for i in range(k) for c in ("refseq", "gene", "direction", "distance")])
 
 
 def clean_qbed(qbed: DataFrame, chroms: list[str] | None = None, min_reads: int | None = None) -> DataFrame:

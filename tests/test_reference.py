@@ -337,3 +337,25 @@ def test_exact_tests_of_large_counts():
     assert math.isclose(stats.binomial_test(5_000_000, 10_000_000, 0.5), 0.5 + math.exp(stats.log_choose(10_000_000, 5_000_000) - 10_000_000 * math.log(2)) / 2, rel_tol=1e-6)
     assert stats.binomial_test(5_000_000, 10_000_000, 0.5, True) == 1.0
     assert 0 < stats.fisher_test(3000, 2500, 10_000_000, 10_000_000) < 1e-10
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_nearest_genes_of_a_large_table(spark, k):
+    # Over the limit: long genes, peaks over several bins, empty bins, equal rows, chromosomes without genes.
+    rnd = random.Random(k)
+    place = lambda: rnd.choice([rnd.randrange(3000), 5000 + rnd.randrange(200), 90_000 + rnd.randrange(500)])
+    genes = [("a", s, s + rnd.choice([0, 20, 90, 700, 2500]), rnd.choice([None, "r1", "r2"]), f"g{rnd.randrange(9)}", "+") for s in (place() for _ in range(120))]
+    genes += genes[:5] * 3 + [("b", 7, 9, "r", "g", "-"), ("c", None, 4, "r", "g", "-"), (None, 1, 4, "r", "g", "-")]
+    asked = {("a", s, s + rnd.choice([0, 10, 99, 100, 350, 9000])) for s in (rnd.choice([place(), rnd.randrange(100_000)]) for _ in range(400))} | {("b", 1, 2), ("b", 100_000, 100_001), ("c", 1, 2), ("d", 1, 2), ("a", None, 3), (None, 1, 2)}
+    g = spark.createDataFrame(genes, "chr string, start long, end long, refseq string, gene string, strand string")
+    p = spark.createDataFrame(sorted(asked, key=str), "chr string, start long, end long")
+    few = {tuple(r)[:3]: tuple(r)[3:] for r in intervals.nearest_genes(p, g, k).collect()}
+    large = g.where("start is not null and chr is not null").select(F.col("chr").alias("_chr"), F.col("start").alias("gs"), F.col("end").alias("ge"), "refseq", "gene", F.col("strand").alias("direction"))
+    for df in (intervals.nearest_genes(p, g, k, limit=10), intervals._binned(p, large, k, 100)):
+        rows = [tuple(r) for r in df.collect()]
+        assert {r[:3]: r[3:] for r in rows} == few and len(rows) == len(asked)
+    order = lambda x: (abs(x[0]), x[1], x[2], *((v is not None, v or "") for v in x[3:]))
+    for (c, a, b), got in few.items():
+        far = [] if a is None or c is None else [((s - b + 1 if s > b else e - a - 1 if e < a else 0), s, e, r, n, d) for of, s, e, r, n, d in genes if of == c and s is not None]
+        want = [x for f in sorted(far, key=order)[:k] for x in (*f[3:], f[0])]
+        assert got == (*want, *[None] * (4 * k - len(want)))
