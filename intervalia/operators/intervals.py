@@ -70,12 +70,12 @@ def histogram(points: DataFrame, lo: int, hi: int, bins: int) -> DataFrame:
 
 
 def merge_intervals(df: DataFrame) -> DataFrame:
-    """chr, start, end, n: maximal runs of intervals that overlap or touch."""
+    """chr, start, end, n: maximal runs of intervals that overlap or touch. Equal intervals are counted first: the order along a chromosome leaves no ties."""
     w = Window.partitionBy("chr").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.select("chr", "start", "end").withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    flagged = df.groupBy("chr", "start", "end").agg(F.count(F.lit(1)).alias("_n")).withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1))
     runs = flagged.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("chr", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("_run")
+    return runs.groupBy("chr", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("_n").alias("n")).drop("_run")
 
 
 def nearest_genes(peaks: DataFrame, genes: DataFrame, k: int = 2, limit: int = 500_000) -> DataFrame:

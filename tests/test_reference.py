@@ -359,3 +359,16 @@ def test_nearest_genes_of_a_large_table(spark, k):
         far = [] if a is None or c is None else [((s - b + 1 if s > b else e - a - 1 if e < a else 0), s, e, r, n, d) for of, s, e, r, n, d in genes if of == c and s is not None]
         want = [x for f in sorted(far, key=order)[:k] for x in (*f[3:], f[0])]
         assert got == (*want, *[None] * (4 * k - len(want)))
+
+
+def test_merged_intervals_that_repeat(spark):
+    rnd = random.Random(12)
+    rows = [("a", s, s + rnd.choice([3, 9, 60])) for s in rnd.choices(range(0, 3000, 25), k=60)] * 4
+    rnd.shuffle(rows)
+    want = []
+    for c, a, b in sorted(rows):
+        if want and a <= want[-1][2]:
+            want[-1] = (c, want[-1][1], max(want[-1][2], b), want[-1][3] + 1)
+        else:
+            want.append((c, a, b, 1))
+    assert sorted(tuple(r) for r in intervals.merge_intervals(spark.createDataFrame(rows, "chr string, start long, end long")).collect()) == want
