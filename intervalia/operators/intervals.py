@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
@@ -17,6 +18,27 @@ from ..sources import schema as S
 BIN = 100_000
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once: written to the shared checkpoint folder where one is set, else held by the executors."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.localCheckpoint()
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def times(points: DataFrame) -> Column:
+    """The aggregate that counts points: rows, or what counted() made of them."""
+    return F.coalesce(F.sum("_held"), F.lit(0)) if "_held" in points.columns else F.count(F.lit(1))
+
+
+def counted(points: DataFrame) -> DataFrame:
+    """chr, start, _held: the positions of points with their number of rows, computed once. What counts points by position takes either; a genome has fewer positions than a library has reads."""
+    return points if "_held" in points.columns else kept(points.groupBy("chr", "start").agg(F.count(F.lit(1)).alias("_held")))
+
+
 def range_count(queries: DataFrame, points: DataFrame, ranges: dict[str, tuple[Column, Column]], bin_size: int = BIN) -> DataFrame:
     """queries with one more column for each entry of ranges: the points (chr, start) of their chromosome with lo <= start <= hi.
 

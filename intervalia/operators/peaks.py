@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..sources import schema as S
-from .intervals import range_count, range_join, union_all
+from .intervals import range_count, range_join, times, union_all
 
 TPH = 100_000_000
 
@@ -269,9 +270,9 @@ def segment(x: np.ndarray, ncp: float, prune: bool = True) -> np.ndarray:
     return segmented(x, ncp, prune)[0]
 
 
-def segmented(x: np.ndarray, ncp: float, prune: bool = True) -> tuple[np.ndarray, float]:
-    """Edges, and the sum, of the blocks of sorted positions (repeats allowed) with the best sum of N (ln N - ln T) - ncp. Without pruning: all splits; with it: only those that can still win."""
-    t, counts = np.unique(np.asarray(x, float), return_counts=True)
+def segmented(x: np.ndarray, ncp: float, prune: bool = True, counts: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Edges, and the sum, of the blocks of sorted positions with the best sum of N (ln N - ln T) - ncp. Without pruning: all splits; with it: only those that can still win. Repeats are allowed, unless their counts are given."""
+    t, counts = np.unique(np.asarray(x, float), return_counts=True) if counts is None else (np.asarray(x, float), counts)
     if len(t) < 2:
         return (np.array([t[0], t[0]]) if len(t) else np.zeros(0)), math.nan
     edges = np.concatenate([t[:1], (t[1:] + t[:-1]) / 2, t[-1:]])
@@ -295,20 +296,23 @@ def segmented(x: np.ndarray, ncp: float, prune: bool = True) -> tuple[np.ndarray
 
 
 def segments(points: DataFrame, p0: float = 0.05, ncp_prior: float | None = None, gamma: float | None = None, prune: bool = True) -> DataFrame:
-    """chr, start, end of change-point blocks, with the chromosome's prior and fitness (null if it has one position), one grouped task a chromosome: the recursion over positions is sequential."""
+    """chr, start, end of change-point blocks, with the chromosome's prior and fitness (null if it has one position), one grouped task a chromosome: the recursion over positions is sequential.
+
+    A task holds the chromosome's distinct positions with their counts, not its insertions."""
     if not 0 <= p0 <= 1 or (ncp_prior is not None and ncp_prior < 0):
         raise ValueError("p0 must be in 0..1 and the prior not negative")
     end = F.col("end") if "end" in points.columns else F.col("start")
-    at = points.select("chr", F.floor((F.col("start") + end) / 2).cast("long").alias("at"))
+    at = points.groupBy("chr", F.floor((F.col("start") + end) / 2).cast("long").alias("at")).agg(times(points).alias("n"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf["at"].to_numpy())
-        cost = prior(p0, len(x), ncp_prior, gamma)
-        edges, fitness = segmented(x, cost, prune)
+    def run(rows: pa.Table) -> pa.Table:
+        x, n = (rows.column(c).to_numpy() for c in ("at", "n"))
+        order = np.argsort(x)
+        cost = prior(p0, int(n.sum()), ncp_prior, gamma)
+        edges, fitness = segmented(x[order], cost, prune, n[order])
         e = np.floor(edges).astype(int)
-        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "start": e[:-1], "end": e[1:], "prior": cost, "fitness": fitness})
+        return pa.table({"chr": [rows.column("chr")[0].as_py()] * (len(e) - 1), "start": e[:-1], "end": e[1:], "prior": np.full(len(e) - 1, cost), "fitness": pa.array(np.full(len(e) - 1, fitness), from_pandas=True)})
 
-    return at.groupBy("chr").applyInPandas(run, "chr string, start long, end long, prior double, fitness double")
+    return at.groupBy("chr").applyInArrow(run, "chr string, start long, end long, prior double, fitness double")
 
 
 def blocks(points: DataFrame, p0: float = 0.05, ncp_prior: float | None = None, gamma: float | None = None, prune: bool = True) -> DataFrame:

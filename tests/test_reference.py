@@ -372,3 +372,15 @@ def test_merged_intervals_that_repeat(spark):
         else:
             want.append((c, a, b, 1))
     assert sorted(tuple(r) for r in intervals.merge_intervals(spark.createDataFrame(rows, "chr string, start long, end long")).collect()) == want
+
+
+def test_blocks_of_counted_positions(spark):
+    rnd = np.random.default_rng(5)
+    places = np.concatenate([rnd.integers(0, 4000, 50), rnd.integers(900, 960, 90)])
+    t, n = np.unique(places, return_counts=True)
+    edges, best = peaks.segmented(places, 3.0)
+    same, value = peaks.segmented(t, 3.0, counts=n)
+    assert np.array_equal(edges, same) and value == best
+    got, counted = (sorted(tuple(r) for r in peaks.segments(df).collect()) for df in (points(spark, places), intervals.counted(points(spark, places))))
+    assert got == counted and [r[1] for r in got] == np.floor(peaks.segment(places, peaks.prior(0.05, len(places)))).astype(int)[:-1].tolist()
+    assert [tuple(r) for r in peaks.segments(points(spark, [7, 7])).select("start", "end", "fitness").collect()] == [(7, 7, None)]
