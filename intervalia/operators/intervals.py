@@ -235,6 +235,7 @@ def clean_qbed(qbed: DataFrame, chroms: list[str] | None = None, min_reads: int
 def combine_annotation(peaks: DataFrame, annotation: DataFrame) -> DataFrame:
     """peaks with the annotation's columns; both must have the same intervals."""
     keys = ["chr", "start", "end"]
+    peaks, annotation = kept(peaks), kept(annotation)
     a, b = peaks.select(*keys), annotation.select(*keys)
     if a.exceptAll(b).limit(1).count() or b.exceptAll(a).limit(1).count():
         raise ValueError("peaks and annotation have different intervals")

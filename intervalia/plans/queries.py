@@ -192,7 +192,7 @@ def annotate_knn2(t):
 
 @query(INT_ISLANDS + KNN + f"\nSELECT ann.{ANN.replace(', ', ', ann.').replace('ann.end_', 'ann.end_')}, i.n FROM ann JOIN islands i ON i.chr = ann.chr AND i.start = ann.start AND i.end_ = ann.end_")
 def combine_annotation(t):
-    p = peaks.islands(t.ins)
+    p = intervals.kept(peaks.islands(t.ins))
     return intervals.combine_annotation(p, intervals.nearest_genes(p, t.genes))
 
 
