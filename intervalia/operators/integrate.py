@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import range_join
+from .intervals import kept, range_join
 from .matrix import CountMatrix, MultiModal, dense_rows, modality, peak_name
 
 
@@ -122,16 +122,27 @@ def result_mapping(pairs: DataFrame, chain: DataFrame, genes: DataFrame, toleran
     return find_location(liftover(df, chain, tolerance), genes).drop("chr", "start", "end")
 
 
-def two_normals(x: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Means and deviations of a mixture of two normals, by expectation maximisation from the quartiles."""
-    x = np.asarray(x, float)
-    mean = np.quantile(x, [0.25, 0.75])
-    sd = np.full(2, max(x.std(), 1e-3))
+def middle(x: np.ndarray, cum: np.ndarray, q: float) -> float:
+    """The quantile, between neighbours, of sorted values that stand as often as the steps of cum."""
+    at = (cum[-1] - 1) * q
+    low, high = x[np.searchsorted(cum, [int(at), min(int(at) + 1, cum[-1] - 1)], "right")]
+    return low + (high - low) * (at - int(at))
+
+
+def two_normals(x: np.ndarray, rounds: int = 200, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations of a mixture of two normals, by expectation maximisation from the quartiles, of values that stand once or `counts` times."""
+    order = np.argsort(x, kind="stable")
+    x = np.asarray(x, float)[order]
+    times = np.ones(len(x)) if counts is None else np.asarray(counts, float)[order]
+    cum = np.cumsum(times)
+    mean = np.array([middle(x, cum, q) for q in (0.25, 0.75)])
+    centre = (times * x).sum() / cum[-1]
+    sd = np.full(2, max(np.sqrt((times * (x - centre) ** 2).sum() / cum[-1]), 1e-3))
     weight = np.full(2, 0.5)
     for _ in range(rounds):
         logp = np.log(weight) - np.log(sd) - 0.5 * ((x[:, None] - mean) / sd) ** 2
         r = np.exp(logp - logp.max(axis=1, keepdims=True))
-        r /= r.sum(axis=1, keepdims=True)
+        r *= (times / r.sum(axis=1))[:, None]
         n = r.sum(axis=0) + 1e-12
         new = (r * x[:, None]).sum(axis=0) / n
         sd = np.sqrt((r * (x[:, None] - new) ** 2).sum(axis=0) / n + 1e-6)
@@ -145,18 +156,24 @@ def two_normals(x: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarra
 
 def footprint(peaks: DataFrame, qbed: DataFrame, fixed_number: float = 50, compress_number: float = 0, min_insertions: int = 15, delete_unfound: bool = False) -> DataFrame:
     """peaks with foot_start, foot_end: between the two modes of the insertions of a peak, less `compress` deviations on each side, if at least fixed_number wide; else the peak's bounds, or null."""
-    held = range_join(peaks.select("chr", "start", "end").distinct(), qbed.where(F.col("end").isNotNull()), F.col("start"), F.col("end")).where(F.col("_point.end") <= F.col("end"))
-    rows = held.select("chr", "start", "end", F.col("_point.start").alias("at"))
-    big = rows.groupBy("chr", "start", "end").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_insertions)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean, sd = two_normals(np.sort(pdf["at"].to_numpy()))
-        lo, hi = np.argsort(mean)
-        x1, x2 = mean[lo] + sd[lo] * compress_number, mean[hi] - sd[hi] * compress_number
-        if x2 - x1 < fixed_number:
-            return pd.DataFrame(columns=["chr", "start", "end", "foot_start", "foot_end"])
-        return pd.DataFrame([(*pdf[["chr", "start", "end"]].iloc[0], int(x1), int(x2 + 1))], columns=["chr", "start", "end", "foot_start", "foot_end"])
-
-    found = rows.join(big, ["chr", "start", "end"], "left_semi").groupBy("chr", "start", "end").applyInPandas(fit, "chr string, start long, end long, foot_start long, foot_end long")
+    peaks = kept(peaks)
+    # Equal insertions are one row with a count: a peak brings no more rows than it has positions.
+    spots = qbed.where(F.col("end").isNotNull()).groupBy("chr", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+    held = range_join(peaks.select("chr", "start", "end").distinct(), spots, F.col("start"), F.col("end")).where(F.col("_point.end") <= F.col("end"))
+    rows = held.select("chr", "start", "end", F.col("_point.start").alias("at"), F.col("_point.n").alias("n"))
+    names = ["chr", "start", "end", "foot_start", "foot_end"]
+
+    def fit(rows: pa.Table) -> pa.Table:
+        at, n = (rows.column(c).to_numpy() for c in ("at", "n"))
+        out = []
+        if n.sum() >= min_insertions:
+            mean, sd = two_normals(at, counts=n)
+            lo, hi = np.argsort(mean)
+            x1, x2 = mean[lo] + sd[lo] * compress_number, mean[hi] - sd[hi] * compress_number
+            if x2 - x1 >= fixed_number:
+                out.append((*(rows.column(c)[0].as_py() for c in names[:3]), int(x1), int(x2 + 1)))
+        return pa.table([pa.array([r[j] for r in out], pa.int64() if j else pa.string()) for j in range(5)], names=names)
+
+    found = rows.groupBy("chr", "start", "end").applyInArrow(fit, "chr string, start long, end long, foot_start long, foot_end long")
     out = peaks.join(found, ["chr", "start", "end"], "left")
     return out if delete_unfound else out.withColumns({"foot_start": F.coalesce("foot_start", "start"), "foot_end": F.coalesce("foot_end", "end")})

@@ -384,3 +384,12 @@ def test_blocks_of_counted_positions(spark):
     got, counted = (sorted(tuple(r) for r in peaks.segments(df).collect()) for df in (points(spark, places), intervals.counted(points(spark, places))))
     assert got == counted and [r[1] for r in got] == np.floor(peaks.segment(places, peaks.prior(0.05, len(places)))).astype(int)[:-1].tolist()
     assert [tuple(r) for r in peaks.segments(points(spark, [7, 7])).select("start", "end", "fitness").collect()] == [(7, 7, None)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_two_normals_of_counted_values(seed):
+    rnd = np.random.default_rng(seed)
+    x = np.concatenate([rnd.normal(300, 20, 90), rnd.normal(500, 30, 60)]).astype(int)
+    t, n = np.unique(x, return_counts=True)
+    assert all(math.isclose(integrate.middle(t, np.cumsum(n), q), np.quantile(x, q)) for q in (0, 0.1, 0.25, 0.5, 0.75, 1))
+    assert np.allclose(integrate.two_normals(t, counts=n), integrate.two_normals(x), rtol=1e-7)
