@@ -13,13 +13,22 @@ from pyspark.sql.types import DoubleType
 
 
 def poisson_sf(k: Column, mu: Column) -> Column:
-    """1 - P(X <= floor(k)), by the terms' recurrence in SQL; a null mean gives null. For means over 500, where the first terms underflow, the recurrence runs on logarithms."""
-    n = F.greatest(F.floor(k), F.lit(-1)).cast("int")
-    steps = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    """1 - P(X <= floor(k)), by the terms' recurrence in SQL; a null mean gives null.
+
+    Terms beyond ten deviations and some of the mean are under 1e-20 and left out: the steps are as many as the spread asks for, whatever the counts. Below a mean of 500 the recurrence starts at 0;
+    above, where the first terms underflow, at ten deviations under the mean, from the logarithm of that term by Stirling's series."""
+    n = F.greatest(F.floor(k), F.lit(-1)).cast("bigint")
+    spread = F.sqrt(mu) * 10 + 40
+    first = F.when(mu > 500, F.floor(mu - spread)).otherwise(0).cast("bigint")
+    last = F.least(n, F.ceil(mu + spread).cast("bigint"))
+    # Logarithms of the mean over the first term's number, not of each: large parts that cancel would cost digits. The first is over 200 where it is used.
+    x = F.greatest(first, F.lit(1)).cast("double")
+    start = x * F.log1p((mu - x) / x) - (mu - x) - F.log(2 * math.pi * x) / 2 - 1 / (12 * x) + 1 / (360 * x * x * x)
+    term = F.exp(F.when(mu > 500, start).otherwise(-mu))
+    steps = F.when(last > first, F.sequence(first + 1, last)).otherwise(F.array().cast("array<bigint>"))
     pair = lambda t, s: F.struct(t.alias("t"), s.alias("s"))
-    near = F.aggregate(steps, pair(F.exp(-mu), F.exp(-mu)), lambda a, i: F.when(i > n, a).otherwise(pair(a.t * mu / i, a.s + a.t * mu / i)), lambda a: a.s)
-    far = F.aggregate(steps, pair(-mu, F.exp(-mu)), lambda a, i: F.when(i > n, a).otherwise(pair(a.t + F.log(mu / i), a.s + F.exp(a.t + F.log(mu / i)))), lambda a: a.s)
-    return F.when(mu.isNull() | k.isNull(), None).when(n < 0, 1.0).otherwise(F.greatest(1 - F.when(mu > 500, far).otherwise(near), F.lit(0.0)))
+    below = F.aggregate(steps, pair(term, term), lambda a, i: pair(a.t * mu / i, a.s + a.t * mu / i), lambda a: a.s)
+    return F.when(mu.isNull() | k.isNull(), None).when(n < first, 1.0).otherwise(F.greatest(1 - below, F.lit(0.0)))
 
 
 def cumulative_poisson(exp: Column, bg: Column, total_exp: Column, total_bg: Column, pseudo: float) -> Column:

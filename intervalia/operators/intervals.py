@@ -54,7 +54,7 @@ def range_count(queries: DataFrame, points: DataFrame, ranges: dict[str, tuple[C
     ends.append(F.struct(F.lit("").alias("name"), place.alias("at"), F.lit(2).alias("ord"), F.lit(0).cast("bigint").alias("sign")))
     asked = packed.select("_q", "chr", F.explode(F.array(*ends)).alias("e")).select("_q", "chr", "e.*").where("at is not null")
     bins = lambda c: F.floor(c / bin_size).cast("bigint")
-    counted = points.groupBy("chr", F.col("start").cast("double").alias("at")).agg(F.count(F.lit(1)).alias("n")).withColumn("_bin", bins(F.col("at")))
+    counted = points.groupBy("chr", F.col("start").cast("double").alias("at")).agg(times(points).alias("n")).withColumn("_bin", bins(F.col("at")))
     # The bins of a chromosome, with one before and one after, are a small table made from the points alone: queries pass through the plan once.
     per_bin = counted.groupBy("chr", "_bin").agg(F.sum("n").alias("_s"))
     ends_of = counted.groupBy("chr").agg((F.min("_bin") - 1).alias("_first"), (F.max("_bin") + 1).alias("_last"))
@@ -106,7 +106,7 @@ def nearest_genes(peaks: DataFrame, genes: DataFrame, k: int = 2, limit: int = 5
     The distance is 0 for an overlap, else the gap plus one, negative upstream. Ties go by gene start, end and refseq; genes without bounds are near nothing, and a gene ends where it starts or after. Up to
     `limit` rows the genes are sent to all tasks, sorted by chromosome, and searched there by bisection, without a shuffle of pairs; a larger table is dealt by bins of a chromosome and searched in each.
     """
-    unique = peaks.select("chr", "start", "end").distinct()
+    unique = kept(peaks.select("chr", "start", "end").distinct())
     g = genes.where(F.col("chr").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
     g = g.select(F.col("chr").alias("_chr"), F.col("start").cast("bigint").alias("gs"), F.col("end").cast("bigint").alias("ge"), "refseq", "gene", F.col("strand").alias("direction"))
     return _searched(unique, g.collect(), k) if g.count() <= limit else _binned(unique, g, k)

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..sources import schema as S
-from .intervals import range_count, range_join, times, union_all
+from .intervals import counted, kept, range_count, range_join, times, union_all
 
 TPH = 100_000_000
 
 
 def positions(points: DataFrame) -> DataFrame:
-    return points.groupBy("chr", "start").agg(F.count(F.lit(1)).alias("n"))
+    return points.groupBy("chr", "start").agg(times(points).alias("n"))
 
 
 def islands(points: DataFrame, maxbetween: int = 2000, minnum: int = 0, min_insertions: int = 5, minlen: int = 0, extend: int = 200) -> DataFrame:
@@ -40,7 +40,7 @@ def islands(points: DataFrame, maxbetween: int = 2000, minnum: int = 0, min_inse
 
 def totals(df: DataFrame, points: DataFrame, name: str) -> DataFrame:
     """df with the number of points on its chromosome. Chromosomes are few."""
-    return df.join(F.broadcast(points.groupBy("chr").agg(F.count(F.lit(1)).alias(name))), "chr", "left").fillna(0, [name])
+    return df.join(F.broadcast(points.groupBy("chr").agg(times(points).alias(name))), "chr", "left").fillna(0, [name])
 
 
 def tail(method: str, n: Column, rate: Column, pseudo: float, whole: Column) -> Column:
@@ -62,6 +62,7 @@ def call_islands(exp: DataFrame, sites: DataFrame, background: DataFrame | None
                  pseudocounts: float = 0.2, test_method: str = "poisson", half_width: int | None = None) -> DataFrame:
     """Peaks from islands, tested against the reference sites and, if given, the background."""
     h = S.HALF_WIDTH[reference] if half_width is None else half_width
+    exp, sites, background = (df if df is None else counted(df) for df in (exp, sites, background))
     found = islands(exp, maxbetween, minnum, min_insertions, minlen, extend)
     near = (F.col("start") - h, F.col("end"))
     df = range_count(found, sites, {"reference_insertions": near})
@@ -175,12 +176,13 @@ def call_windows(exp: DataFrame, sites: DataFrame, background: DataFrame | None
                  min_insertions: int = 5, extend: int = 200, window_size: int = 1500, step_size: int = 500, lam_win_size: int | None = None, pseudocounts: float = 0.2, test_method: str = "poisson") -> DataFrame:
     """Peaks from sliding windows: significant windows are merged, bounded by their outer insertions, counted and tested again."""
     h = S.HALF_WIDTH[reference]
+    exp, sites, background = (df if df is None else counted(df) for df in (exp, sites, background))
     cut = pvalue_cutoff if background is None else pvalue_cutoff_sites
     stat = window_statistics(exp, sites, background, window_size, step_size, h, lam_win_size, pseudocounts, min_insertions, test_method)
     ok = F.col("pvalue") <= cut
     if background is not None:
         ok &= F.col("pvalue_background") <= pvalue_cutoff_bg
-    df = window_peaks(exp, stat.where(ok), window_size, step_size, h, extend, h if background is None else 3)
+    df = kept(window_peaks(exp, stat.where(ok), window_size, step_size, h, extend, h if background is None else 3))
     near = (F.col("start") - h, F.col("end"))
     df = range_count(range_count(df, exp, {"experiment_insertions": near}), sites, {"reference_insertions": near})
     df = totals(totals(df, exp, "_exp"), sites, "_sites")
@@ -193,7 +195,7 @@ def call_windows(exp: DataFrame, sites: DataFrame, background: DataFrame | None
     held = F.greatest(F.col("reference_insertions"), F.lit(1)) if background is None else F.col("reference_insertions")
     rate = held * scale + pseudocounts
     p = tail(test_method, F.col("experiment_insertions") + pseudocounts, rate, 0.0, F.col("_exp"))
-    whole = exp.agg(F.count(F.lit(1))).first()[0] or 1
+    whole = row_count(exp) or 1
     fraction = {"fraction_experiment": F.col("experiment_insertions") / whole, "tph_experiment": F.col("experiment_insertions") * TPH / whole}
     final = pvalue_cutoff if pvalue_adj_cutoff is None else pvalue_adj_cutoff
     if background is None:
@@ -201,7 +203,7 @@ def call_windows(exp: DataFrame, sites: DataFrame, background: DataFrame | None
         out = df.select("chr", "start", "end", "center", "pvalue", "experiment_insertions", "reference_insertions", "fraction_experiment", "tph_experiment", "expected_insertions")
         return _with_fdr(out, "pvalue", "pvalue_adj", reference, final)
     df = totals(range_count(df, background, {"background_insertions": near}), background, "_bg")
-    of = background.agg(F.count(F.lit(1))).first()[0] or 1
+    of = row_count(background) or 1
     pb = F.when(F.col("background_insertions") == 0, 0.0).otherwise(stats.cumulative_poisson(F.col("experiment_insertions"), F.col("background_insertions"), F.col("_exp"), F.greatest(F.col("_bg"), F.lit(1)), pseudocounts))
     df = df.withColumns({"pvalue_reference": p, "pvalue_background": pb, "fraction_background": F.col("background_insertions") / of, "tph_background": F.col("background_insertions") * TPH / of} | fraction)
     df = df.withColumn("tph_background_subtracted", F.col("tph_experiment") - F.col("tph_background"))
@@ -218,7 +220,7 @@ def with_center(df: DataFrame, exp: DataFrame, h: int) -> DataFrame:
 
 
 def row_count(points: DataFrame) -> int:
-    return points.agg(F.count(F.lit(1))).first()[0]
+    return points.agg(times(points)).first()[0]
 
 
 OLD_TPH = 100_000
@@ -234,6 +236,7 @@ def call_windows_max_rate(exp: DataFrame, sites: DataFrame, background: DataFram
     """
     if background is None:
         raise ValueError("this caller needs a background")
+    exp, sites, background = counted(exp), counted(sites), counted(background)
     h, whole, of = S.HALF_WIDTH[reference], row_count(exp), row_count(background)
     windows = range_count(candidate_windows(exp, window_size, step_size, h, 2, 0), background, {"b": (F.col("start") - h, F.col("start") + window_size - 1)})
     significant = windows.where(stats.cumulative_poisson(F.col("n"), F.col("b"), F.lit(whole), F.lit(of), pseudocounts) <= pvalue_cutoff)
@@ -340,7 +343,8 @@ def call_blocks(exp: DataFrame, other: DataFrame, reference: str = "mm10", pvalu
         rate = F.col("reference_insertions") * F.col("_exp") / F.greatest(F.col("_of"), F.lit(1)) + pseudocounts
         return df.withColumns({"expected_insertions": rate, "pvalue": stats.poisson_sf(F.col("experiment_insertions") - 1, rate)}).drop("_exp", "_of")
 
-    b = block_source(exp)
+    b = kept(block_source(exp))
+    exp, other = counted(exp), counted(other)
     df = tested(block_counts(block_counts(b, exp, "experiment_insertions"), other, "reference_insertions")).withColumn("_sig", F.col("pvalue") <= pvalue_cutoff)
     w = Window.partitionBy("chr").orderBy("start")
     run = F.sum((~F.col("_sig")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -399,13 +403,14 @@ def retested(bounds: DataFrame, peaks: DataFrame, exp: DataFrame, sites: DataFra
     if test_method not in ("poisson", "binomial"):
         raise ValueError(f"unknown test {test_method}")
     h = S.EDIT_HALF_WIDTH[reference]
-    other = sites.select("chr", (F.col("end") if "end" in sites.columns else F.col("start") + h).alias("start"))
+    exp, background = counted(exp), background if background is None else counted(background)
+    other = counted(sites.select("chr", (F.col("end") if "end" in sites.columns else F.col("start") + h).alias("start"), *(c for c in ("_held",) if c in sites.columns)))
     tables = {"reference": other if background is None or method != "Blockify" else background}
     if background is not None and method != "Blockify":
         tables["background"] = background
     near, half = (F.col("start") - h, F.col("end")), (lam_win_size or 0) / 2
     wide = (F.col("start") - h - half + 1, F.col("end") + half)
-    df = bounds.select("chr", "start", "end")
+    df = kept(bounds.select("chr", "start", "end"))
     for name, points in ({"experiment": exp} | tables).items():
         if lam_win_size and method != "Blockify":
             df = range_count(df, points, {f"{name}_insertions": near, f"_{name}": wide})
@@ -427,6 +432,7 @@ def retested(bounds: DataFrame, peaks: DataFrame, exp: DataFrame, sites: DataFra
         if background is not None:
             df = df.withColumn("tph_background_subtracted", F.col("tph_experiment") - F.col("tph_background"))
     tested, adjusted = ("pvalue", "pvalue_adj") if len(tables) == 1 else ("pvalue_reference", "pvalue_adj_reference")
+    df = kept(df)
     # One or two edited peaks meet the peak table's (p, adjusted p): the few are sent, the table stays.
     met = peaks.select(F.col(tested).alias("_p"), F.col(adjusted).alias("_adj")).join(F.broadcast(df.select("chr", "start", F.col(tested).alias("_mine"))))
     nearest = met.groupBy("chr", "start").agg(F.min_by("_adj", F.struct(F.abs(F.col("_p") - F.col("_mine")), F.col("_p"))).alias(adjusted))
@@ -435,6 +441,7 @@ def retested(bounds: DataFrame, peaks: DataFrame, exp: DataFrame, sites: DataFra
 
 def combine_peaks(peaks: DataFrame, index: int, exp: DataFrame, sites: DataFrame, background: DataFrame | None = None, method: str = "CCcaller", return_whole: bool = False, cutoffs: dict[str, float] | None = None, **options) -> DataFrame:
     """Peaks index and index + 1 as one, counted and tested again by the method that called them. cutoffs: largest value by column of p; options: as of `retested`. Peaks without counts are joined only."""
+    peaks = kept(peaks)
     ranked = with_ordinal(peaks)
     two = ranked.where(F.col("peak_ord").isin(index, index + 1))
     seen = two.agg(F.count(F.lit(1)), F.countDistinct("chr")).first()
@@ -446,6 +453,7 @@ def combine_peaks(peaks: DataFrame, index: int, exp: DataFrame, sites: DataFrame
 
 def separate_peaks(peaks: DataFrame, index: int, middle_start: int, middle_end: int, exp: DataFrame, sites: DataFrame, background: DataFrame | None = None, method: str = "CCcaller", return_whole: bool = False, cutoffs: dict[str, float] | None = None, **options) -> DataFrame:
     """Peak index as two: up to middle_start, and from middle_end. The rest as of `combine_peaks`; each half stays if it passes the cut-offs."""
+    peaks = kept(peaks)
     ranked = with_ordinal(peaks)
     halves = ranked.where(F.col("peak_ord") == index).select("chr", F.explode(F.array(F.struct("start", F.lit(middle_start).cast("long").alias("end")), F.struct(F.lit(middle_end).cast("long").alias("start"), "end"))).alias("h")).select("chr", "h.*")
     return _edited(ranked, [index], _tested(halves, peaks, exp, sites, background, method, options), cutoffs, return_whole)

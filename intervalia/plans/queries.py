@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -331,37 +332,54 @@ def edited(df: DataFrame) -> DataFrame:
     return rounded(df, *[c for c in df.columns if c.startswith("tph_")], digits=4)
 
 
+class Counted:
+    """Insertions, sites and background by position, each counted when first asked for: peaks are called and edited on the same."""
+
+    def __init__(self, t: Fixtures):
+        self.t = t
+
+    def __getattr__(self, name: str) -> DataFrame:
+        self.__dict__[name] = intervals.counted(getattr(self.t, name))
+        return self.__dict__[name]
+
+
 def called_with_background(t) -> DataFrame:
     return peaks.call_islands(t.ins, t.sites, t.bg, pvalue_cutoff_bg=0.1, pvalue_cutoff_sites=0.001, pvalue_adj_cutoff=1.0)
 
 
 @query(INT_ISLANDS + EDIT + edit_sql(TWO, ONE_TEST))
 def combine_peaks(t):
+    t = Counted(t)
     return edited(peaks.combine_peaks(peaks.call_peaks(t.ins, t.sites), 1, t.ins, t.sites))
 
 
 @query(INT_ISLANDS + EDIT_BG + edit_sql(TWO, TWO_TESTS + ", round(xb, 6) AS expected_background, round(xs, 6) AS expected_reference"))
 def combine_peaks_bg(t):
+    t = Counted(t)
     return edited(peaks.combine_peaks(called_with_background(t), 1, t.ins, t.sites, t.bg))
 
 
 @query(INT_ISLANDS + EDIT + edit_sql(TWO, f"{SHARES}, {ONE_TEST}"))
 def combine_peaks_maccs(t):
+    t = Counted(t)
     return edited(peaks.combine_peaks(peaks.call_peaks(t.ins, t.sites), 1, t.ins, t.sites, method="MACCs"))
 
 
 @query(INT_ISLANDS + EDIT_BG + edit_sql(TWO, f"{SHARES}, {TWO_TESTS}, round(b * 1.0 / tb, 6) AS fraction_background, round(b * 100000000.0 / tb, 4) AS tph_background, round(n * 100000000.0 / te - b * 100000000.0 / tb, 4) AS tph_background_subtracted"))
 def combine_peaks_maccs_bg(t):
+    t = Counted(t)
     return edited(peaks.combine_peaks(called_with_background(t), 1, t.ins, t.sites, t.bg, "MACCs"))
 
 
 @query(INT_ISLANDS + EDIT + edit_sql(HALVES, ONE_TEST))
 def separate_peaks(t):
+    t = Counted(t)
     return edited(peaks.separate_peaks(peaks.call_peaks(t.ins, t.sites), 1, 7000, 7050, t.ins, t.sites))
 
 
 @query(INT_ISLANDS + EDIT + edit_sql(HALVES, ONE_TEST, blocks=True))
 def separate_peaks_blocks_bg(t):
+    t = Counted(t)
     return edited(peaks.separate_peaks(peaks.call_peaks(t.ins, t.sites), 1, 7000, 7050, t.ins, t.sites, t.bg, "Blockify"))
 
 
@@ -379,7 +397,8 @@ M = INT_ISLANDS + MATRIX
 
 
 def count_matrix_of(t) -> matrix.CountMatrix:
-    return matrix.make_matrix(t.ins, peaks.islands(t.ins), t.obs.select("barcode", "cluster"), check=False)
+    m = matrix.make_matrix(t.ins, intervals.kept(peaks.islands(t.ins)), t.obs.select("barcode", "cluster"), check=False)
+    return replace(m, x=intervals.kept(m.x), obs=intervals.kept(m.obs))
 
 
 @query(M + "\nSELECT obs_id, var_id, value FROM x")

@@ -393,3 +393,32 @@ def test_two_normals_of_counted_values(seed):
     t, n = np.unique(x, return_counts=True)
     assert all(math.isclose(integrate.middle(t, np.cumsum(n), q), np.quantile(x, q)) for q in (0, 0.1, 0.25, 0.5, 0.75, 1))
     assert np.allclose(integrate.two_normals(t, counts=n), integrate.two_normals(x), rtol=1e-7)
+
+
+def test_tails_of_large_counts(spark):
+    cases = [(3e9, 5.0), (5e8, 40_000.0), (3.0, 40_000.0), (40_600.0, 40_000.0), (520.0, 500.5), (520.0, 499.5)]
+    got = [r[0] for r in spark.createDataFrame(cases, "k double, m double").select(stats.poisson_sf(F.col("k"), F.col("m"))).collect()]
+    exact = lambda k, m: 1 - math.fsum(math.exp(i * math.log(m) - m - math.lgamma(i + 1)) for i in range(int(k) + 1))
+    assert got[0] == 0.0 and got[1] < 1e-12 and got[2] == 1.0 and all(math.isclose(g, exact(*c), abs_tol=1e-9) for g, c in zip(got[3:], cases[3:], strict=True))
+
+
+def test_callers_read_each_table_once(spark):
+    exp = points(spark, [1000 + 13 * k for k in range(30)] * 3 + [60_000, 90_000] + list(range(70_000, 70_400, 5)))
+    sites, bg = points(spark, range(0, 100_000, 500)), points(spark, range(0, 100_000, 3000))
+    seen = [spark.sparkContext.accumulator(0) for _ in range(3)]
+
+    def watched(df, acc):
+        def run(batches):
+            for batch in batches:
+                acc.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    for method, background in (("CCcaller", None), ("CCcaller", bg), ("MACCs", None), ("MACCs", bg), ("MACCS_old", bg)):
+        before = [a.value for a in seen]
+        tables = [df if df is None else watched(df, a) for df, a in zip((exp, sites, background), seen, strict=True)]
+        got = sorted(map(tuple, peaks.call_peaks(*tables, method).collect()))
+        read = [a.value - b for a, b in zip(seen, before, strict=True)]
+        assert got and read == [exp.count(), sites.count(), background.count() if background is not None else 0], method
+        assert got == sorted(map(tuple, peaks.call_peaks(*[df if df is None else intervals.counted(df) for df in (exp, sites, background)], method).collect()))
