@@ -16,6 +16,8 @@ from ..sources import schema as S
 from .intervals import counted, kept, range_count, range_join, times, union_all
 
 TPH = 100_000_000
+#: Chunks of a chromosome that are walked in one call.
+LOT = 64
 
 
 def positions(points: DataFrame) -> DataFrame:
@@ -162,14 +164,20 @@ def window_peaks(exp: DataFrame, significant: DataFrame, window: int, step: int,
     owner = owner.groupBy("chr", "k", "start").agg(F.min("_point._chunk").alias("_chunk")).join(least, "chr")
 
     def run(places: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        names, out = ["chr", "start", "end", "center"], []
         if not len(found) or not len(places):
-            return pd.DataFrame(columns=["chr", "start", "end", "center"])
-        found = found.sort_values("k")
-        at = np.sort(np.repeat(places["start"].to_numpy(), places["n"].to_numpy()))
-        out = walk(found["k"].to_numpy(), found["start"].to_numpy(), at, int(found["_o"].iloc[0]), window, step, h, extend, last)
-        return pd.DataFrame([(found["chr"].iloc[0], *x) for x in out], columns=["chr", "start", "end", "center"])
-
-    return chunks.groupBy("chr", "_chunk").cogroup(owner.groupBy("chr", "_chunk")).applyInPandas(run, "chr string, start long, end long, center double")
+            return pd.DataFrame(columns=names)
+        found, places = found.sort_values(["_chunk", "k"]), places.sort_values(["_chunk", "start"])
+        k, start, of = (found[c].to_numpy() for c in ("k", "start", "_chunk"))
+        at, n, held = (places[c].to_numpy() for c in ("start", "n", "_chunk"))
+        for c in np.unique(of):
+            f, p = (slice(*np.searchsorted(x, [c, c + 1])) for x in (of, held))
+            out += walk(k[f], start[f], np.repeat(at[p], n[p]), int(found["_o"].iloc[0]), window, step, h, extend, last)
+        return pd.DataFrame([(found["chr"].iloc[0], *x) for x in out], columns=names)
+
+    # A call for each chunk would cost more than its walk: a call takes LOT neighbours.
+    lot = lambda df: df.groupBy("chr", F.floor(F.col("_chunk") / LOT))
+    return lot(chunks).cogroup(lot(owner)).applyInPandas(run, "chr string, start long, end long, center double")
 
 
 def call_windows(exp: DataFrame, sites: DataFrame, background: DataFrame | None = None, reference: str = "mm10", pvalue_cutoff: float = 1e-4, pvalue_cutoff_bg: float = 1e-3, pvalue_cutoff_sites: float = 1e-5, pvalue_adj_cutoff: float | None = None,
